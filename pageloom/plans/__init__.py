@@ -1,0 +1,6 @@
+"""Registered queries."""
+
+
+def all_queries() -> None:
+    """Import the modules that register queries."""
+    from . import date_queries, item_queries, link_queries, parse_queries, seed_queries, table_queries  # noqa: F401
