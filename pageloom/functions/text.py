@@ -13,6 +13,9 @@ from .base import WHITESPACE, all_matches, empty_strings, java_regex, java_repla
 TAG = r"(?s)</?[^ >/][^>]*>"
 ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,7});"
 COMMENT = r"(?s)<!--.*?-->"
+NAMED_ENTITIES = "\x01".join(f"{name}\x02{chr(point)}" for name, point in [*name2codepoint.items(), ("apos", 39)])
+# Letters without a one-character upper case; they stay, as in Python's own rule of one for one.
+NO_UPPER = "ßŉǰΐΰևẖẗẘẙẚ\ufb00-\ufb06\ufb13-\ufb17"
 ACTIVE_MARKUP = (
     r"(?is)<script\b.*?</script\s*>",
     r"(?is)<style\b.*?</style\s*>",
@@ -46,8 +49,7 @@ def code_point(number: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """HTML entities to text; unknown entities stay as they are."""
-    names = [F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))]
-    table = F.create_map(*names, F.lit("apos"), F.lit("'"))
+    table = F.str_to_map(F.lit(NAMED_ENTITIES), F.lit("\x01"), F.lit("\x02"))  # folded to one map literal
 
     def decode(token: Column) -> Column:
         body = F.regexp_extract(token, ENTITY, 1)
@@ -74,12 +76,17 @@ def substitute(text: Column, pattern: str, replacement: str) -> Column:
 def to_int(text: Column) -> Column:
     """First whole number in the text, commas dropped; 0 when there is none."""
     digits = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"[+-]?\s*[0-9]+", 0)
-    return F.coalesce(F.when(~digits.rlike(r"\s"), digits.try_cast("bigint")), F.lit(0).cast("bigint"))
+    return F.coalesce(_number(digits).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def to_float(text: Column) -> Column:
     digits = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"[+-]?\s*[.0-9]+", 0)
-    return F.coalesce(F.when(~digits.rlike(r"\s"), digits.try_cast("double")), F.lit(0.0))
+    return F.coalesce(_number(digits).try_cast("double"), F.lit(0.0))
+
+
+def _number(digits: Column) -> Column:
+    """Blanks before the number are fine, between sign and number they are not."""
+    return F.when(~digits.rlike(r"^[+-]\s"), strip(digits))
 
 
 def map_first(text: Column, table: dict[str, str], default: str | None = None) -> Column:
@@ -95,17 +102,23 @@ def map_first(text: Column, table: dict[str, str], default: str | None = None) -
 
 # --- string methods ---------------------------------------------------------
 
-def title(text: Column) -> Column:
-    return retext(text, r"\p{L}+|[^\p{L}]+", F.initcap)
+def upper(text: Column) -> Column:
+    kept = retext(text, f"[{NO_UPPER}]+|[^{NO_UPPER}]+",
+                  lambda t: F.when(t.rlike(f"^[{NO_UPPER}]"), t).otherwise(F.upper(t)))
+    return F.when(text.rlike(f"[{NO_UPPER}]"), kept).otherwise(F.upper(text))
 
 
 def capitalize(text: Column) -> Column:
-    return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))
+    return F.concat(upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))
+
+
+def title(text: Column) -> Column:
+    return retext(text, r"\p{L}+|[^\p{L}]+", capitalize)
 
 
 def swapcase(text: Column) -> Column:
     return retext(text, r"\p{Lu}+|\P{Lu}+",
-                  lambda t: F.when(t.rlike(r"^\p{Lu}"), F.lower(t)).otherwise(F.upper(t)))
+                  lambda t: F.when(t.rlike(r"^\p{Lu}"), F.lower(t)).otherwise(upper(t)))
 
 
 def _trimmer(trim):
@@ -161,7 +174,7 @@ def is_title(x: Column) -> Column:
 # name -> (function, type of one result); "array" results are flattened
 STRING_METHODS = {
     "lower": (F.lower, "string"),
-    "upper": (F.upper, "string"),
+    "upper": (upper, "string"),
     "title": (title, "string"),
     "capitalize": (capitalize, "string"),
     "swapcase": (swapcase, "string"),
@@ -182,7 +195,7 @@ STRING_METHODS = {
     "isdigit": (lambda x: x.rlike(r"^\p{Nd}+\z"), "boolean"),
     "isalnum": (lambda x: x.rlike(r"^[\p{L}\p{N}]+\z"), "boolean"),
     "isspace": (lambda x: x.rlike(r"^(?U)\s+\z"), "boolean"),
-    "isupper": (lambda x: (x == F.upper(x)) & x.rlike(r"\p{L}"), "boolean"),
+    "isupper": (lambda x: (x == upper(x)) & x.rlike(r"\p{L}"), "boolean"),
     "islower": (lambda x: (x == F.lower(x)) & x.rlike(r"\p{L}"), "boolean"),
     "istitle": (is_title, "boolean"),
 }

@@ -57,7 +57,7 @@ def _sorted_query(query: Column) -> Column:
     def fields(pairs: Column) -> Column:
         keyed = F.transform(pairs, lambda p: F.struct(
             F.substring_index(p, "=", 1).alias("k"), p.alias("p")))
-        return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["p"]), "&")
+        return F.array_join(F.transform(F.sort_array(keyed), lambda s: s["p"]), "&")
 
     pairs = F.filter(F.split(query, "&", -1), lambda p: p != "")
     return F.when(query.contains("&"), fields(pairs)).otherwise(query)
@@ -92,24 +92,35 @@ def _remove_dots(path: Column) -> Column:
         tail = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
         return F.concat(F.array_join(kept, "/"), tail)
 
-    return F.when(path.rlike(r"(^|/)\.\.?(/|\z)"), let(F.split(path, "/", -1), clean)).otherwise(path)
+    return F.when(path.contains(".") & path.rlike(r"(^|/)\.\.?(/|\z)"), let(F.split(path, "/", -1), clean)).otherwise(path)
 
 
-def resolve(base: Column, ref: Column) -> Column:
-    """Absolute form of a reference found on the page ``base``."""
-    ref = F.trim(ref)
-    root = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+def base_parts(base: Column) -> Column:
+    """What ``resolve`` needs of a page's address; compute it once per page."""
     directory = F.regexp_extract(part(base, "path"), r"^.*/", 0)
-    directory = F.when(directory == "", "/").otherwise(directory)
-    path, rest = part(ref, "path"), F.regexp_extract(ref, r"[?#].*$", 0)
-    return (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(part(base, "scheme"), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(root, _remove_dots(path), rest))
-        .when(ref == "", F.regexp_extract(base, r"^[^#]*", 0))
-        .when(ref.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), ref))
-        .when(ref.startswith("?"), F.concat(root, part(base, "path"), ref))
-        .otherwise(F.concat(root, _remove_dots(F.concat(directory, path)), rest)))
+    return F.struct(
+        F.regexp_extract(base, r"^[^#]*", 0).alias("whole"),
+        F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0).alias("root"),
+        part(base, "scheme").alias("scheme"), part(base, "path").alias("path"),
+        F.when(directory == "", "/").otherwise(directory).alias("directory"))
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """Absolute form of a reference; ``base`` is a ``base_parts`` struct."""
+    def absolute(ref: Column) -> Column:
+        path, rest = part(ref, "path"), F.regexp_extract(ref, r"[?#].*$", 0)
+        rooted = ref.startswith("/")
+        merged = F.when(rooted, path).otherwise(F.concat(base["directory"], path))
+        return (
+            F.when(ref.startswith("//"), F.concat(base["scheme"], F.lit(":"), ref))
+            .when(rooted & ~ref.contains("/."), F.concat(base["root"], ref))
+            .when(ref == "", base["whole"])
+            .when(ref.startswith("#"), F.concat(base["whole"], ref))
+            .when(ref.startswith("?"), F.concat(base["root"], base["path"], ref))
+            .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+            .otherwise(F.concat(base["root"], _remove_dots(merged), rest)))
+
+    return let(F.trim(ref), absolute)
 
 
 def rewrite(url: Column, pattern: str, replacement: str) -> Column:
@@ -155,7 +166,7 @@ def last_wins(pairs: Column) -> Column:
         keep = F.filter(rows, lambda r, i: F.coalesce(F.get(rows, i + 1)["k"] != r["k"], F.lit(True)))
         return F.map_from_entries(F.transform(keep, lambda r: F.struct(r["k"], r["v"])))
 
-    return let(F.array_sort(numbered), newest)
+    return let(F.sort_array(numbered), newest)
 
 
 def merge_maps(base: Column, new: Column) -> Column:
@@ -166,7 +177,7 @@ def merge_maps(base: Column, new: Column) -> Column:
 
 def query_string(fields: Column) -> Column:
     """Encoded ``k=v&..`` with the keys in order."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(
+    return F.array_join(F.transform(F.sort_array(F.map_entries(fields)), lambda e: F.concat(
         encode_query_value(e["key"]), F.lit("="), encode_query_value(e["value"]))), "&")
 
 

@@ -18,9 +18,11 @@ from ..functions.text import strip_tags, unescape
 from .dom import page_nodes
 from .selectors import Selector, Wanted, outer_html, parse_selector, select_nodes, select_values
 
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_HREF = r"""(?is)^[^>]*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_TEXT = r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)"
+# One pass: comments, scripts and styles are taken whole, so anchors inside them are not seen.
+_PIECE = (r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
+          r"|a(?:rea)?\s.*?(?:</a\s*>|(?=<a(?:rea)?\s)|\z))")
+_HREF = r"""(?is)^<a[^>]*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_TEXT = r"(?is)^[^>]*+>(.*?)(?:</a\s*>|\z)"
 _BASE = r"""(?is)<base\s[^>]*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 HTML_BODY = r"(?is)^\s*(<!--.*?-->\s*)*(<!doctype html|<html)"
 
@@ -60,9 +62,8 @@ def is_html(pages: DataFrame) -> Column:
 
 def page_anchors(source: Column) -> Column:
     """``array<struct<href,text>>`` of a page's anchors by built-in functions only."""
-    visible = F.regexp_replace(source, _HIDDEN, "")
-    pieces = F.split(visible, r"(?i)<(?=a(?:rea)?\s)", -1)
-    found = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(
+    pieces = F.regexp_extract_all(source, F.lit(_PIECE), F.lit(0))
+    found = F.transform(pieces, lambda p: F.struct(
         F.regexp_extract(p, _HREF, 1).alias("href"), F.regexp_extract(p, _TEXT, 1).alias("text")))
     return F.filter(found, lambda a: a["href"] != "")
 
@@ -77,7 +78,14 @@ def region_anchors(nodes: Column, source: Column, region: Selector) -> Column:
     found = let(select_nodes(nodes, region), inside)
     return F.transform(found, lambda n: F.struct(
         F.try_element_at(n["attrs"], F.lit("href")).alias("href"),
-        F.regexp_extract(F.substr(outer_html(n, source), F.lit(2)), _TEXT, 1).alias("text")))
+        F.regexp_extract(outer_html(n, source), _TEXT, 1).alias("text")))
+
+
+def _page_base() -> Column:
+    """The address that the page's references are relative to."""
+    own, tag = F.col("src_url"), F.btrim(F.regexp_extract("html", _BASE, 1), F.lit("\"'"))
+    given = urls.resolve(urls.base_parts(own), tag)
+    return urls.base_parts(F.when(F.col("html").rlike(r"(?i)<base\s"), given).otherwise(own))
 
 
 def _links(anchors: Column, base: Column) -> Column:
@@ -125,7 +133,7 @@ def _first_per_link(links: Column) -> Column:
             same = (before["url"] == x["url"]) & (before["text"] == x["text"])
             return ~F.coalesce(same, F.lit(False))
         return F.filter(rows, is_first)
-    return let(F.array_sort(links), first)
+    return let(F.sort_array(links), first)
 
 
 def extract_links(pages: DataFrame, rules: Iterable[LinkRule | Mapping] = (), domains: Iterable[str] = (),
@@ -146,8 +154,8 @@ def extract_links(pages: DataFrame, rules: Iterable[LinkRule | Mapping] = (), do
     var_paths = {i: r.page_vars() for i, r in enumerate(rules)}
     named = [s for s in regions.values() if s] + [s for vs in var_paths.values() for s in vs.values()]
     source = F.col("html").cast("binary")
-    base = F.when(F.col("html").rlike(_BASE), urls.resolve(
-        F.col("src_url"), F.btrim(F.regexp_extract("html", _BASE, 1), F.lit("\"'")))).otherwise(F.col("src_url"))
+    pages = pages.withColumn("_base", _page_base())
+    base = F.col("_base")
 
     if named:
         wanted = Wanted.of(named, tags=["a", "area"], attrs=["href"])

@@ -1 +1,221 @@
-"""x"""
+"""Items of HTML and JSON pages."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import urls
+from ..operators import dedup, items, quality
+from ..operators.items import Job, extract_html_items, extract_json_items
+from ..operators.links import extract_links
+from ..sinks.write import media_manifest
+from .link_queries import ANCHORS, FIRST, HOST, canonical
+from .registry import Tables, query
+
+NOW = datetime(2024, 2, 1, 12, 30, 5)
+
+
+def job() -> Job:
+    return Job(now=F.lit(NOW), tz="+08:00", site="demo")
+
+
+def plain(expr: str) -> str:
+    """The entities of the test pages, in SQL."""
+    out = expr
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"),
+                         ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+TITLE = plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+NAV = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
+
+
+@query(f"""WITH {ANCHORS}, seen AS (SELECT {canonical('url')} AS canon FROM pages),
+new AS (SELECT DISTINCT {canonical('url')} AS canon FROM anchors WHERE {canonical('url')} NOT IN (SELECT canon FROM seen))
+SELECT {HOST.format('canon')} AS host, count(*) AS new_urls FROM new GROUP BY 1""")
+def flagship(t: Tables) -> DataFrame:
+    """Links of all pages, once per fingerprint, without captured pages, per host."""
+    seen = dedup.with_fingerprint(t.pages.select("url"))
+    found = dedup.with_fingerprint(extract_links(t.pages).select("url"))
+    new = dedup.drop_seen(found.groupBy("url_sha1").agg(F.min("url").alias("url")), seen)
+    return new.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("new_urls"))
+
+
+@query(f"SELECT page_id, trim({TITLE}) AS title, trim({H1}) AS h1 FROM pages WHERE {TITLE} <> '' AND {H1} <> ''")
+def item_title_h1(t: Tables) -> DataFrame:
+    return extract_html_items(t.pages, {
+        "title": {"xpath": "//title/text()", "parse": "trim"},
+        "h1": {"css": "article > h1", "parse": "text"},
+    })
+
+
+@query(f"""SELECT page_id, regexp_extract({TITLE}, '\\b([tT]he)\\b', 1) AS word FROM pages
+WHERE regexp_matches({TITLE}, '\\b[tT]he\\b')""")
+def item_required(t: Tables) -> DataFrame:
+    """A page without the word has an empty required field and gives no row."""
+    return extract_html_items(t.pages, {"word": {"xpath": "//title/text()", "regex": r"\b[tT]he\b", "parse": "head"}})
+
+
+@query(f"""SELECT page_id, {NAV}[1] AS first_link, array_to_string({NAV}, ' ') AS all_links,
+CAST(NULL AS VARCHAR) AS image, 0 AS tables_found, regexp_extract(html, '<div class="(\\w+)">', 1) AS kind FROM pages""")
+def item_scalarise(t: Tables) -> DataFrame:
+    """First value, all values, an absent optional and an absent multi field."""
+    found = extract_html_items(t.pages, {
+        "first_link": {"xpath": "//nav//a/@href"},
+        "all_links": {"xpath": "//nav//a/@href", "multi": True},
+        "image": {"xpath": "//img/@src", "opt": True},
+        "tables": {"xpath": "//table", "multi": True},
+        "kind": {"xpath": "//body/div[contains(@class, 'a')]/@class"},
+    })
+    return found.select("page_id", "first_link", F.array_join("all_links", " ").alias("all_links"), "image",
+                        F.size("tables").alias("tables_found"), "kind")
+
+
+_STORED = {
+    "address": {"value": "${URL}", "name": "url", "upsert": True},
+    "site": {"value": "${SITE}/${TODAY}", "name": "source"},
+    "clicks": {"value": 0, "name": "visits"},
+    "title": {"xpath": "//title/text()", "name": "heading", "parse": ["norm", "upper"]},
+    "note": {"xpath": "//table/@summary", "name": "note", "default": "none on ${IDAY}"},
+    "hidden": {"xpath": "//h1"},
+}
+
+
+@query(f"""SELECT url, 'demo/2024-02-01' AS source, CAST(0 AS BIGINT) AS visits,
+replace(upper(trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))), 'ẞ', 'ß') AS heading, 'none on 1' AS note
+FROM pages WHERE {TITLE} <> '' AND {H1} <> ''""")
+def item_store(t: Tables) -> DataFrame:
+    """Constants, templates and defaults; only named fields are kept, under their names."""
+    return items.store_columns(extract_html_items(t.pages, _STORED, job=job()), _STORED)
+
+
+@query(f"""SELECT page_id, array_to_string(regexp_extract_all({H1}, '[A-Z][a-z]+'), ',') AS words FROM pages
+WHERE len(regexp_extract_all({H1}, '[A-Z][a-z]+')) > 0""")
+def item_regex(t: Tables) -> DataFrame:
+    found = extract_html_items(t.pages, {"words": {"xpath": "//h1", "regex": ">?([A-Z][a-z]+)", "multi": True}})
+    return found.select("page_id", F.array_join("words", ",").alias("words")).filter("words <> ''")
+
+
+@query("""SELECT page_id, hrefs[pos] AS href, texts[pos] AS label, CAST(len(hrefs) AS INTEGER) AS entries FROM (
+SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS pos FROM (
+  SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
+         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages))
+WHERE texts[pos] <> ''""")
+def item_loop_nav(t: Tables) -> DataFrame:
+    """One row per list entry; ``./`` paths start at the entry."""
+    found = extract_html_items(t.pages, {
+        "href": {"xpath": "./a/@href"}, "label": {"css": "a", "parse": ["text", "unesc"]},
+        "whole": {"xpath": "."}, "all": {"xpath": "//nav/ul/li/a/@href", "multi": True},
+    }, loop="//nav/ul/li")
+    return found.filter("label <> ''").select("page_id", "href", "label", F.size("all").alias("entries"))
+
+
+@query(f"""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS head,
+  'Lang: ' || regexp_extract(url, '/(en|de|fr|es)/', 1) || ' $UNKNOWN $' AS line FROM pages""")
+def page_vars(t: Tables) -> DataFrame:
+    """Variables of a page are named in its fields; unknown names stay as written."""
+    pages = t.pages.withColumn("vars", urls.string_map({"LANG": F.regexp_extract("url", "/(en|de|fr|es)/", 1)}))
+    return extract_html_items(pages, {
+        "head": {"xpath": "//h1", "parse": ["text"], "default": ""},
+        "line": {"value": "Lang: ${LANG} $UNKNOWN $$"},
+    })
+
+
+# --- JSON ------------------------------------------------------------------------------------
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind,
+CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 0 THEN 'hit' END AS note FROM events
+WHERE CAST(json_extract(props, '$.k') AS BIGINT) IS NOT NULL""")
+def item_json_fields(t: Tables) -> DataFrame:
+    """Each event as a JSONP page: cut out, loop over a list, read fields."""
+    body = F.concat(F.lit('callback({"rows": ['), F.lit('{"p": '), F.col("props"), F.lit(', "t": "'),
+                    F.col("event_type"), F.lit('"}]});'))
+    pages = t.events.select(F.col("event_id").alias("page_id"), F.lit("u").alias("url"), body.alias("body"))
+    found = extract_json_items(pages, {
+        "k": {"jpath": "$.p.k", "parse": "int"}, "kind": {"jpath": "$.t"},
+        "note": {"jpath": "$.p.k", "parse": ["int", {"type": "filter", "$gt": 0},
+                                             {"type": "sub", "from": "^.*$", "to": "hit"}], "opt": True},
+    }, loop="$.rows[*]")
+    return found.withColumnRenamed("page_id", "event_id")
+
+
+@query("""SELECT o_orderkey AS page_id, CAST(o_custkey AS VARCHAR) AS who, o_orderpriority AS tag FROM orders
+UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), o_orderstatus FROM orders""")
+def item_json_list(t: Tables) -> DataFrame:
+    """A list body; two levels of lists give one row per inner element."""
+    body = F.concat(F.lit("x = ["), F.to_json(F.struct(
+        F.col("o_custkey").alias("c"), F.array("o_orderpriority", "o_orderstatus").alias("tags"))), F.lit("];"))
+    pages = t.orders.select(F.col("o_orderkey").alias("page_id"), F.lit("u").alias("url"), body.alias("body"))
+    found = extract_json_items(pages, {"who": {"jpath": "$.c"}, "tag": {"jpath": "$.tags[*]", "multi": True}},
+                               loop="$[*]", container="list")
+    return found.select("page_id", "who", F.explode("tag").alias("tag"))
+
+
+@query("""SELECT event_id, props AS body FROM events WHERE event_type = 'error'""")
+def json_broken(t: Tables) -> DataFrame:
+    """Error events carry cut-off JSON: they go to the quarantine table."""
+    body = F.when(F.col("event_type") == "error", F.concat(F.lit('{"x": '), "props")).otherwise(F.col("props"))
+    pages = t.events.select("event_id", body.alias("body"), "props")
+    return items.broken_json(pages).select("event_id", F.col("props").alias("body"))
+
+
+@query("SELECT page_id FROM pages WHERE contains(url, '/de/')")
+def page_quarantine(t: Tables) -> DataFrame:
+    html = F.when(F.col("url").contains("/de/"), F.lit(" ")).otherwise(F.col("html"))
+    return items.broken_pages(t.pages.withColumn("html", html)).select("page_id")
+
+
+@query(f"""SELECT page_id, replace(upper({TITLE}), 'ẞ', 'SS') AS title FROM pages WHERE {TITLE} <> ''""")
+def page_hook(t: Tables) -> DataFrame:
+    """A hook gives the page a new body before its fields are read."""
+    def shout(pages: DataFrame) -> DataFrame:
+        title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+        lower = F.replace(F.upper(title), F.lit("&AMP;"), F.lit("&amp;"))
+        return pages.withColumn("html", F.concat(F.lit("<title>"), lower, F.lit("</title>")))
+
+    return extract_html_items(t.pages, {"title": {"xpath": "//title/text()"}}, page_hook=shout)
+
+
+@query(f"""SELECT b.page_id, a.url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1
+UNION ALL SELECT page_id, url FROM pages WHERE page_id = 0""")
+def page_redirect(t: Tables) -> DataFrame:
+    """Every page but the first was redirected to the page before it."""
+    before = t.pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("redirect_url"))
+    return items.follow_redirects(t.pages.join(before, "page_id", "left"), t.pages).select("page_id", "url")
+
+
+# --- fragments, media, quality -----------------------------------------------------------------
+
+@query("""SELECT page_id, array_to_string(texts[2:], '') AS rest, texts[1] AS first FROM (
+  SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS texts FROM pages)""")
+def parse_fragment(t: Tables) -> DataFrame:
+    """Select and purge inside a selected fragment."""
+    return extract_html_items(t.pages, {
+        "rest": {"xpath": "//nav", "parse": [{"type": "purge", "query": "//li[1]"}, "text", "unesc"]},
+        "first": {"xpath": "//nav", "parse": [{"type": "xpath", "query": "ul/li/a/text()"}, "head"]},
+    })
+
+
+@query("""WITH m AS (SELECT page_id, url, links, unnest(range(1, len(links) + 1)) AS p FROM (
+  SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS links FROM pages))
+SELECT page_id AS item_id, CAST(p - 1 AS INTEGER) AS pos, links[p] AS image_url, url AS referer FROM m
+QUALIFY row_number() OVER (PARTITION BY links[p] ORDER BY page_id, p) = 1""")
+def media_once(t: Tables) -> DataFrame:
+    """Each media address once, with the first item that names it (here: all hrefs)."""
+    found = extract_html_items(t.pages, {"url": {"value": "${URL}"}, "image_urls": {"xpath": "//nav//a/@href"}})
+    return media_manifest(found, "page_id")
+
+
+@query(f"""SELECT 'title' AS field, count(*) FILTER ({TITLE} = '') AS missing, count(*) AS total FROM pages
+UNION ALL SELECT 'the', count(*) FILTER (NOT regexp_matches({TITLE}, '\\bthe\\b')), count(*) FROM pages
+UNION ALL SELECT 'image', count(*), count(*) FROM pages""")
+def field_quality(t: Tables) -> DataFrame:
+    fields = {"title": {"xpath": "//title/text()"}, "the": {"xpath": "//title/text()", "regex": r"\bthe\b"},
+              "image": {"xpath": "//img/@src", "opt": True}}
+    return quality.field_quality(extract_html_items(t.pages, fields, drop_incomplete=False), fields)

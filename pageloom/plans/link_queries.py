@@ -259,7 +259,7 @@ def links_meta(t: Tables) -> DataFrame:
         "keyword": F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(2)),
         "vars": urls.string_map({"UP": "1", "low": "2"})})
     found = extract_links(pages, [LinkRule("r", vars={"T": "//title/text()", "t": "//h1"})])
-    named = F.array_join(F.transform(F.array_sort(F.map_entries("vars")), lambda e: F.concat(
+    named = F.array_join(F.transform(F.sort_array(F.map_entries("vars")), lambda e: F.concat(
         e["key"], F.lit("="), e["value"])), ";")
     return found.select("src_page_id", "url", "text", "keyword", named.alias("vars"))
 
@@ -303,7 +303,7 @@ def _site(t: Tables) -> DataFrame:
     below = pages.select(F.floor((F.col("page_id") - 1) / 2).alias("page_id"), F.col("page_id").alias("child"),
                          F.col("url").alias("child_url")).filter("child > 0")
     anchor = F.concat(F.lit('<a href="'), F.replace("child_url", F.lit("&"), F.lit("&amp;")), F.lit('">c</a>'))
-    html = below.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(anchor)), "").alias("body"))
+    html = below.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list(anchor)), "").alias("body"))
     return pages.join(html, "page_id", "left").select(
         "page_id", "url", F.concat(F.lit("<html><body>"), F.coalesce("body", F.lit("")), F.lit("</body></html>"))
         .alias("html"))

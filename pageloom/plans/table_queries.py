@@ -1 +1,66 @@
-"""x"""
+"""Sinks, run statistics, and table-level views."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import quality
+from ..sinks import write
+from .registry import Tables, query
+
+
+@query("""WITH old AS (SELECT user_id, event_id, event_type, props FROM events WHERE ts < TIMESTAMP '2024-01-15'
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
+new AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = 'click' THEN NULL ELSE props END AS props
+  FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'view'
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (
+  SELECT 1 FROM new WHERE new.user_id = old.user_id AND new.event_type = old.event_type)""")
+def upsert_latest(t: Tables) -> DataFrame:
+    """Old table and a new batch; the last new row replaces the old one fully, nulls too."""
+    events = t.events.select("user_id", "event_id", "event_type", "props", "ts")
+    keys = ["user_id", "event_type"]
+    cut = F.lit(datetime(2024, 1, 15))
+    old = events.filter(F.col("ts") < cut).withColumn("first", -F.col("event_id"))
+    old = write.latest_rows(old, keys, ["first"]).drop("first", "ts")
+    new = events.filter((F.col("ts") >= cut) & (F.col("event_type") != "view")).drop("ts")
+    new = new.withColumn("props", F.when(F.col("event_type") != "click", F.col("props")))
+    return write.upsert_rows(old, new, keys, ["event_id"])
+
+
+@query("""SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS key, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' ||
+o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS value FROM orders""")
+def message_payload(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return write.message_payload(rows, ["o_orderkey"])
+
+
+@query("""SELECT doc_id AS item_id, CAST(p - 1 AS INTEGER) AS pos, words[p] AS image_url, source AS referer FROM (
+  SELECT doc_id, source, words, unnest(range(1, len(words) + 1)) AS p FROM (
+    SELECT doc_id, source, regexp_extract_all(text, '[A-Z]\\w+[.]') AS words FROM documents))
+QUALIFY row_number() OVER (PARTITION BY words[p] ORDER BY doc_id, p) = 1""")
+def media_manifest(t: Tables) -> DataFrame:
+    """Sentence ends as media addresses: each once, first document and place."""
+    words = F.regexp_extract_all("text", F.lit(r"[A-Z]\w+[.]"), F.lit(0))
+    rows = t.documents.select("doc_id", F.col("source").alias("url"), words.alias("image_urls"))
+    return write.media_manifest(rows, "doc_id")
+
+
+@query("""SELECT CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS start_time,
+CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) AS finish_time,
+CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) - CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS elapsed_seconds,
+count(*) AS item_count, count(*) FILTER (event_type = 'error') AS item_error_count, 'finished' AS finish_reason,
+'events' AS job FROM events""")
+def run_stats(t: Tables) -> DataFrame:
+    return quality.run_stats(t.events, F.min("ts"), F.max("ts"), job="events",
+                             counters={"item.error.count": F.count_if(F.col("event_type") == "error")})
+
+
+@query("""SELECT event_id, strftime(TIMESTAMP '2024-03-04', '%Y-%m-%d') AS date,
+CAST(1709510400 AS BIGINT) AS epoch, 'r1' AS run FROM events""")
+def output_parts(t: Tables) -> DataFrame:
+    """Columns an output is partitioned by, fixed once per run."""
+    return write.with_output_parts(t.events.select("event_id"), F.lit(datetime(2024, 3, 4)), "r1")
