@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, spread
 from ..sources.pages import read_pages
 
 
@@ -24,6 +24,7 @@ class Tables:
         if name == "pages":
             return read_pages(self.spark, path)
         df = self.spark.read.parquet(path)
+        df = spread(df, df.columns[0])
         local = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
