@@ -78,4 +78,6 @@ def json_values(body: Column, path: str) -> Column:
 
 
 def variant_text(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    """A value as text; JSON null is no value."""
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    return F.when(~F.is_variant_null(value), text)

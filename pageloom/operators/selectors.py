@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..functions.base import let
 
 Test = Callable[[Column], Column]
 
-_STEP = re.compile(r"(//|/)?(\*|@?[\w:-]+(?:\(\))?|\.)((?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\])*)")
+_STEP = re.compile(r"(//|/)?(\*|@?[\w-]+(?::[\w-]+)?(?:\(\))?|\.)((?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\])*)")
 _PREDICATE = re.compile(r"\[((?:[^\]\"']|\"[^\"]*\"|'[^']*')*)\]")
 _ATOM = re.compile(
     r"""\s*(?:(not)\()?\s*(?:
@@ -54,7 +54,8 @@ class Selector:
     steps: tuple[Step, ...]
     absolute: bool
     attr: str | None = None         # read this attribute of the last step's nodes
-    index: int | None = None        # ``(...)[n]``
+    index: int | None = None        # ``(...)[n]``: the n-th match of
+    grouped: int = 0                # the first ``grouped`` steps
 
     @property
     def gives_text(self) -> bool:
@@ -67,10 +68,14 @@ def parse_selector(text: str) -> Selector:
 
 
 def parse_xpath(text: str) -> Selector:
-    path, index = text.strip(), None
-    grouped = re.fullmatch(r"\((.*)\)\[(\d+)\]", path)
-    if grouped:
-        path, index = grouped[1], int(grouped[2])
+    path = text.strip()
+    group = re.fullmatch(r"\((/[^()]*(?:\([^()]*\)[^()]*)*)\)\[(\d+)\](/.*)?", path)
+    if group:
+        head, tail = parse_xpath(group[1]), parse_xpath("." + group[3]) if group[3] else None
+        if head.attr or head.gives_text or head.index:
+            raise ValueError(f"unsupported XPath {text!r}")
+        steps = head.steps + (tail.steps if tail else ())
+        return Selector(steps, True, tail.attr if tail else None, int(group[2]), len(head.steps))
     steps, attr, end = [], None, 0
     for m in _STEP.finditer(path):
         slash, name, tests = m.groups()
@@ -94,7 +99,7 @@ def parse_xpath(text: str) -> Selector:
         raise ValueError(f"unsupported XPath {text!r}")
     if any(s.tag == "#text" for s in steps[:-1]) or (attr and steps and steps[-1].tag == "#text"):
         raise ValueError(f"unsupported XPath {text!r}")
-    return Selector(tuple(steps), path.startswith("/"), attr, index)
+    return Selector(tuple(steps), path.startswith("/"), attr)
 
 
 def _step(descend: bool, tag: str, predicates: str, source: str) -> Step:
@@ -195,7 +200,7 @@ def parse_css(text: str) -> Selector:
 
 def relative(selector: Selector) -> Selector:
     """CSS selectors are evaluated below the row's node, never from the page root."""
-    return Selector(selector.steps, False, selector.attr, selector.index)
+    return replace(selector, absolute=False)
 
 
 # --- evaluation -----------------------------------------------------------------
@@ -207,9 +212,9 @@ def select_nodes(nodes: Column, selector: Selector, context: Column | None = Non
     if not selector.steps:
         return F.array(context) if context is not None else F.filter(nodes, lambda n: n["parent"] == -1)
     out = _one_step(nodes, selector.steps[0], _inside(context, selector.steps[0].descend))
-    for step in selector.steps[1:]:
-        out = _next_step(nodes, step, out)
-    return out if selector.index is None else F.slice(out, selector.index, 1)
+    for i, step in enumerate(selector.steps[1:], 1):
+        out = _next_step(nodes, step, out if selector.grouped != i else F.slice(out, selector.index, 1))
+    return F.slice(out, selector.index, 1) if selector.grouped == len(selector.steps) else out
 
 
 def _next_step(nodes: Column, step: Step, found: Column) -> Column:

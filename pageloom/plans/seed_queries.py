@@ -39,7 +39,7 @@ SELECT DISTINCT trim(line) AS keyword FROM lines WHERE trim(line) <> '' AND NOT
 def kw_lines(t: Tables) -> DataFrame:
     """Each document as a keyword file: lines, without blank and ``#`` lines."""
     lines = t.documents.select(F.explode(F.split("text", "\n")).alias("value"))
-    return keywords.combine_keywords([keywords.clean_lines(lines)]).select("keyword")
+    return keywords.combine_keywords([keywords.numbered_lines(lines)]).select("keyword")
 
 
 @query("""SELECT CAST(i AS VARCHAR) AS keyword, count(*) AS parts FROM range(1, 51, 7) AS x(i) JOIN part ON p_size = i

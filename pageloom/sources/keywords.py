@@ -11,16 +11,19 @@ from ..functions.base import strip
 
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``keyword, ord`` from text lines: trimmed, no blank and no ``#`` lines.
-
-    ``ord`` follows the line order inside one file.
-    """
-    words = lines.select(strip(F.col(column)).alias("keyword"), F.monotonically_increasing_id().alias("ord"))
+    """``keyword`` from text lines: trimmed, no blank and no ``#`` lines."""
+    words = lines.withColumn("keyword", strip(F.col(column))).drop(column)
     return words.filter((F.col("keyword") != "") & ~F.col("keyword").startswith("#"))
 
 
+def numbered_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``keyword, ord``; ``ord`` follows the line order inside one file."""
+    numbered = lines.select(F.col(column), F.monotonically_increasing_id().alias("ord"))
+    return clean_lines(numbered, column).select("keyword", "ord")
+
+
 def keyword_file(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return clean_lines(spark.read.text(path))
+    return numbered_lines(spark.read.text(path))
 
 
 def keyword_range(spark: SparkSession, start: int = 0, stop: int = 0, step: int = 1) -> DataFrame:

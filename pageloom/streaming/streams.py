@@ -15,7 +15,7 @@ from ..sources.keywords import clean_lines
 
 def keyword_stream(spark: SparkSession, path: str, fmt: str = "text", **options) -> DataFrame:
     """An endless keyword queue; ``seed_urls`` takes it like a table."""
-    return clean_lines(spark.readStream.format(fmt).options(**options).load(path)).drop("ord")
+    return clean_lines(spark.readStream.format(fmt).options(**options).load(path))
 
 
 def page_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
