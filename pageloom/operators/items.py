@@ -17,6 +17,7 @@ from ..functions.base import all_matches, empty_strings, let
 from ..functions.jsonpath import cut_json, variant_text, variant_values
 from ..functions.macros import Macros, job_macros
 from ..functions.parse import Values, parser, reads_markup
+from ..functions.urls import url_sha1
 from .dom import page_nodes
 from .selectors import Selector, Wanted, parse_selector, relative, select_nodes, select_values
 
@@ -224,16 +225,18 @@ def broken_json(pages: DataFrame, body: str = "body", container: str = "object")
 def follow_redirects(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """A hook may set ``redirect_url``: such a row is replaced by the captured target page.
 
-    Target pages are parsed as they are; the hook does not run on them again.
+    Target pages are parsed as they are; the hook does not run on them again. Of several
+    captures of one address the lowest ``page_id`` counts; it is found on the narrow
+    columns, so page sources are shuffled only for the pages asked for.
     """
-    from ..functions.urls import url_sha1
+    content = [c for c in ("url", "html", "body") if c in targets.columns]
     stay = pages.filter(F.col("redirect_url").isNull()).drop("redirect_url")
     moved = pages.filter(F.col("redirect_url").isNotNull()).select(
-        url_sha1(F.col("redirect_url")).alias("_target"),
-        *[c for c in pages.columns if c not in ("redirect_url", "url", "html", "body")])
-    own = [c for c in ("url", "html", "body") if c in targets.columns]
-    found = targets.select(url_sha1(F.col("url")).alias("_target"), *own).dropDuplicates(["_target"])
-    return stay.unionByName(moved.join(found, "_target").drop("_target"))
+        url_sha1(F.col("redirect_url")).alias("_sha1"), *[c for c in pages.columns if c not in ("redirect_url", *content)])
+    first = targets.groupBy(url_sha1(F.col("url")).alias("_sha1")).agg(F.min("page_id").alias("_target"))
+    source = targets.select(F.col("page_id").alias("_target"), *content)
+    found = moved.join(first, "_sha1").join(source, "_target").drop("_sha1", "_target")
+    return stay.unionByName(found)
 
 
 def choose_item_pages(pages: DataFrame, links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:

@@ -182,7 +182,9 @@ def page_hook(t: Tables) -> DataFrame:
     return extract_html_items(t.pages, {"title": {"xpath": "//title/text()"}}, page_hook=shout)
 
 
-@query(f"""SELECT b.page_id, a.url FROM pages a JOIN pages b ON b.page_id = a.page_id + 1
+@query(f"""WITH c AS (SELECT page_id, url, {canonical('url')} AS canon FROM pages),
+first AS (SELECT canon, arg_min(url, page_id) AS url FROM c GROUP BY canon)
+SELECT b.page_id, first.url FROM c a JOIN pages b ON b.page_id = a.page_id + 1 JOIN first USING (canon)
 UNION ALL SELECT page_id, url FROM pages WHERE page_id = 0""")
 def page_redirect(t: Tables) -> DataFrame:
     """Every page but the first was redirected to the page before it."""

@@ -309,10 +309,11 @@ def _site(t: Tables) -> DataFrame:
         .alias("html"))
 
 
-@query("""WITH RECURSIVE w(page_id, depth) AS (
-  SELECT CAST(0 AS BIGINT), 0 UNION ALL
-  SELECT p.page_id, depth + 1 FROM w JOIN pages p ON p.page_id > 0 AND (p.page_id - 1) // 2 = w.page_id WHERE depth < 6)
-SELECT page_id, depth FROM w""")
+@query(f"""WITH RECURSIVE c AS (SELECT page_id, {canonical('url')} AS canon FROM pages),
+e AS (SELECT DISTINCT p.canon AS src, k.canon AS dst FROM c k JOIN c p ON k.page_id > 0 AND (k.page_id - 1) // 2 = p.page_id),
+w(canon, depth) AS (SELECT canon, 0 FROM c WHERE page_id = 0
+  UNION SELECT dst, depth + 1 FROM w JOIN e ON src = w.canon WHERE depth < 6)
+SELECT page_id, min(depth) AS depth FROM c JOIN w USING (canon) GROUP BY page_id""")
 def walk_depth(t: Tables) -> DataFrame:
     site = _site(t)
     seeds = site.filter("page_id = 0").select("url")

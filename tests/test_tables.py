@@ -195,5 +195,5 @@ def test_run_stats(spark):
 def test_redirects(spark):
     pages = spark.createDataFrame([(1, "http://a", "A", None), (2, "http://b", "B", "http://A#x"), (3, "http://c", "C", "http://z")],
                                   "page_id int, url string, html string, redirect_url string")
-    got = follow_redirects(pages, pages.select("url", "html"))
+    got = follow_redirects(pages, pages.select("page_id", "url", "html"))
     assert {(r.page_id, r.url, r.html) for r in got.collect()} == {(1, "http://a", "A"), (2, "http://a", "A")}
