@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Dates are read and written in UTC. Small Arrow batches, as one page may be megabytes."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """Settings the library relies on.
+
+    Dates are read and written in UTC. Arrow batches are small, as one page may be
+    megabytes. Adaptive execution splits the hot partitions of joins.
+    """
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }.items():
+        spark.conf.set(key, value)
     return spark
 
 
@@ -26,6 +37,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, where all executors can write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -39,12 +39,17 @@ def keyword_list(spark: SparkSession, words: Sequence[str]) -> DataFrame:
 def combine_keywords(sources: Sequence[DataFrame], exclude: DataFrame | None = None) -> DataFrame:
     """Distinct keywords of all sources; a keyword keeps its first source and place.
 
-    ``keyword, source, ord``: ``orderBy("source", "ord")`` is the reading order. Copies are
-    merged before the shuffle, so a keyword with very many copies is no hot key.
+    ``keyword, source, ord``: ``orderBy("source", "ord")`` is the reading order. One minimum
+    per source is kept in a hash aggregate: copies are merged before the shuffle, so a
+    keyword with very many copies is no hot key, and nothing is sorted.
     """
     every = None
     for i, source in enumerate(sources):
         rows = source.select("keyword", F.lit(i).alias("source"), "ord")
         every = rows if every is None else every.unionByName(rows)
-    first = every.groupBy("keyword").agg(F.min(F.struct("source", "ord")).alias("at")).select("keyword", "at.*")
+    places = [f"_ord_{i}" for i in range(len(sources))]
+    first = every.groupBy("keyword").agg(
+        *[F.min(F.when(F.col("source") == i, F.col("ord"))).alias(place) for i, place in enumerate(places)])
+    number = F.coalesce(*[F.when(F.col(place).isNotNull(), i) for i, place in enumerate(places)])
+    first = first.select("keyword", number.alias("source"), F.coalesce(*places).alias("ord"))
     return first if exclude is None else first.join(exclude.select("keyword"), "keyword", "left_anti")
