@@ -13,11 +13,10 @@ from .links import LinkRule, extract_links
 
 
 def link_edges(pages: DataFrame, rules: Iterable[LinkRule], domains: Iterable[str] = ()) -> DataFrame:
-    """Followed links as ``(src_sha1, url_sha1, url)``: the pages are read only here."""
+    """Links as ``(src_sha1, url_sha1, url, do_follow)``, each once."""
     links = extract_links(pages, rules, domains)
-    links = links.filter("do_follow or do_parse")
-    return links.select(
-        url_sha1(F.col("src_url")).alias("src_sha1"), url_sha1(F.col("url")).alias("url_sha1"), "url", "do_follow")
+    return links.select(url_sha1(F.col("src_url")).alias("src_sha1"), url_sha1(F.col("url")).alias("url_sha1"),
+                        "url", "do_follow").distinct()
 
 
 def walk(pages: DataFrame, seeds: DataFrame, rules: Iterable[LinkRule], max_depth: int,
@@ -26,31 +25,30 @@ def walk(pages: DataFrame, seeds: DataFrame, rules: Iterable[LinkRule], max_dept
 
     Columns ``url_sha1, url, depth``; depth 0 is a seed. A link that is only parsed
     (``follow`` False) is reached but not walked on from. The pages' source is read
-    once, into an edge table; a hop joins the new URLs with the edges, keeps one row
-    per target and drops what was reached before.
+    once, into an edge table. A hop joins the new fingerprints with the edges, keeps one
+    row per target (before the shuffle) and drops what was reached before; addresses are
+    looked up once, at the end.
     """
-    edges = link_edges(pages, rules, domains).groupBy("src_sha1", "url_sha1").agg(
-        F.min("url").alias("url"), F.max("do_follow").alias("do_follow"))
-    edges = cut_lineage(edges)
-
+    edges = cut_lineage(link_edges(pages, rules, domains))
     start = seeds.select(url_sha1(F.col("url")).alias("url_sha1"), "url")
-    frontier = start.groupBy("url_sha1").agg(F.min("url").alias("url")).withColumn("go_on", F.lit(True))
-    frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)))
+    frontier = cut_lineage(start.select("url_sha1", F.lit(True).alias("go_on"), F.lit(0).alias("depth")).distinct())
     reached = frontier
     for depth in range(1, max_depth + 1):
         sources = frontier.filter("go_on").select(F.col("url_sha1").alias("src_sha1"))
         targets = edges.join(sources, "src_sha1", "left_semi")
-        targets = targets.groupBy("url_sha1").agg(
-            F.min("url").alias("url"), F.max("do_follow").alias("go_on")).withColumn("depth", F.lit(depth))
+        targets = targets.groupBy("url_sha1").agg(F.max("do_follow").alias("go_on"))
         # a URL reached before only by a parsed link may now be walked on from
         known = reached.groupBy("url_sha1").agg(F.max("go_on").alias("known_go_on"), F.min("depth").alias("first"))
         new = targets.join(known, "url_sha1", "left").filter(
             F.col("known_go_on").isNull() | (F.col("go_on") & ~F.col("known_go_on")))
-        frontier = cut_lineage(new.select("url_sha1", "url", "go_on", F.coalesce("first", "depth").alias("depth")))
+        frontier = cut_lineage(new.select("url_sha1", "go_on", F.coalesce("first", F.lit(depth)).alias("depth")))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    return reached.groupBy("url_sha1").agg(F.min("url").alias("url"), F.min("depth").alias("depth"))
+    reached = reached.groupBy("url_sha1").agg(F.min("depth").alias("depth"))
+    names = edges.select("url_sha1", "url").union(start).join(reached, "url_sha1", "left_semi")
+    names = names.groupBy("url_sha1").agg(F.min("url").alias("url"))
+    return reached.join(names, "url_sha1").select("url_sha1", "url", "depth")
 
 
 def walked_pages(pages: DataFrame, reached: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def flagship(t: Tables) -> DataFrame:
     """Links of all pages, once per fingerprint, without captured pages, per host."""
     seen = dedup.with_fingerprint(t.pages.select("url"))
     found = dedup.with_fingerprint(extract_links(t.pages).select("url"))
-    new = dedup.drop_seen(found.groupBy("url_sha1").agg(F.min("url").alias("url")), seen)
-    return new.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("new_urls"))
+    found = found.select("url_sha1", urls.host(F.col("url")).alias("host")).distinct()
+    return dedup.drop_seen(found, seen).groupBy("host").agg(F.count("*").alias("new_urls"))
 
 
 @query(f"SELECT page_id, trim({TITLE}) AS title, trim({H1}) AS h1 FROM pages WHERE {TITLE} <> '' AND {H1} <> ''")

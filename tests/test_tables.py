@@ -132,6 +132,27 @@ def test_seen_set(spark):
     assert dedup.drop_seen(rows, again).count() == 0
 
 
+def test_hot_fingerprint_is_split(spark):
+    """A third of the rows is one URL: adaptive execution splits that partition of the anti join."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60000, 1, 8).select(
+            F.sha1(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(-1).cast("string")).alias("url_sha1"),
+            F.sha1(F.col("id").cast("string")).alias("payload"))
+        seen = spark.range(0, 30000, 1, 4).select(F.sha1(F.col("id").cast("string")).alias("url_sha1"))
+        new = dedup.drop_seen(rows, seen)
+        assert len(new.collect()) == 60000 - 20000
+        assert "skew=true" in plan_of(new)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # --- sinks ----------------------------------------------------------------------------------------------
 
 BATCHES = [
