@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(page_reader)
 
 def page_nodes(source: Column, wanted: Wanted) -> Column:
     """``nodes`` of a page; null for a null or unreadable page."""
-    names = (wanted.tags, wanted.attrs, wanted.text_of)
+    names = (wanted.tags, wanted.attrs, wanted.text_of, wanted.places)
 
     @F.arrow_udf(NODES)
     def nodes_of(pages: pa.Array) -> pa.Array:
@@ -44,7 +44,7 @@ def page_nodes(source: Column, wanted: Wanted) -> Column:
 
 def fragment_nodes(fragments: Column, wanted: Wanted) -> Column:
     """``nodes`` of every fragment in an array."""
-    names = (wanted.tags, wanted.attrs, wanted.text_of)
+    names = (wanted.tags, wanted.attrs, wanted.text_of, wanted.places)
 
     @F.arrow_udf(f"array<{NODES}>")
     def nodes_of(rows: pa.Array) -> pa.Array:

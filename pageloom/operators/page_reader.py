@@ -24,6 +24,7 @@ _BLOCK = frozenset(
     "section table ul".split())
 _CELL = frozenset(["td", "th"])
 _ENDS = {tag: (frozenset(["p"]), frozenset(["table", "td", "th", "button"])) for tag in _BLOCK}
+_NOTHING = ((), ())
 _ENDS |= {
     "li": (frozenset(["li"]), frozenset(["ul", "ol"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -42,86 +43,111 @@ def _decode(raw: bytes) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def read_nodes(source: bytes, tags, attrs, text_of) -> list[list]:
-    """Nodes of one page as rows [pre, last, parent, tag, nth, nth_last, pos, pos_last, attrs, text, start, stop]."""
-    every = "*" in tags
-    nodes, stack, open_count, siblings = [], [], {}, {}
-    kept, counter, size, at = [], 0, len(source), 0
+def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list[list]:
+    """Nodes of one page as rows in ``_ORDER``.
+
+    Only elements in ``tags`` ('*' is all) and the first element, attributes in ``attrs``
+    and text below ``text_of`` are returned; numbers count every element. ``places`` asks
+    for the positions among siblings.
+    """
+    every, all_text = "*" in tags, "*" in text_of
+    kept, stack, open_count, siblings, names = [], [], {}, {}, {}
+    counter, size, at = 0, len(source), 0
+    search = _TOKEN.search
 
     def add_text(start: int, stop: int, raw: bool) -> None:
         nonlocal counter
-        parent = stack[-1] if stack else None
-        if not ("*" in text_of or (parent and parent[3] in text_of)):
-            return
-        chunk = source[start:stop]
-        kept.append([counter, counter, parent[0] if parent else -1, "#text", 0, 0, 0, 0, {},
-                     chunk.decode("utf-8", "replace") if raw else _decode(chunk), start, stop])
-        counter += 1
+        if all_text or (stack and stack[-1][1] in text_of):
+            chunk = source[start:stop]
+            kept.append([counter, counter, stack[-1][0] if stack else -1, "#text", 0, 0, 0, 0, {},
+                         chunk.decode("utf-8", "replace") if raw else _decode(chunk), start, stop])
+            counter += 1
 
     def close(count: int, stop: int) -> None:
         for _ in range(count):
-            node = stack.pop()
-            node[1], node[11] = counter - 1, stop
-            open_count[node[3]] -= 1
+            _, tag, node = stack.pop()
+            open_count[tag] -= 1
+            if node is not None:
+                node[1], node[11] = counter - 1, stop
 
     while at < size:
-        m = _TOKEN.search(source, at)
+        m = search(source, at)
         if m is None:
             break
-        if m.start() > at and text_of:
-            add_text(at, m.start(), False)
-        at = m.end()
-        if m[2] is None:
+        begin, end = m.span()
+        if begin > at and text_of:
+            add_text(at, begin, False)
+        at = end
+        slash, written, rest = m.groups()
+        if written is None:
             continue
-        tag = m[2].decode("utf-8", "replace").lower()
-        if m[1]:
+        tag = names.get(written)
+        if tag is None:
+            tag = names[written] = written.decode("utf-8", "replace").lower()
+        if slash:
             if open_count.get(tag):
-                depth = next(i for i in range(1, len(stack) + 1) if stack[-i][3] == tag)
-                close(depth - 1, m.start())
-                close(1, m.end())
+                depth = 1
+                while stack[-depth][1] != tag:
+                    depth += 1
+                close(depth - 1, begin)
+                close(1, end)
             continue
-        ends, limit = _ENDS.get(tag, (None, None))
-        if ends and any(open_count.get(t) for t in ends):
-            cut = 0
-            for i in range(1, len(stack) + 1):
-                if stack[-i][3] in limit:
-                    break
-                if stack[-i][3] in ends:
-                    cut = i
-            close(cut, m.start())
+        ends, limit = _ENDS.get(tag, _NOTHING)
+        for other in ends:
+            if open_count.get(other):
+                close(_implied(stack, ends, limit), begin)
+                break
         parent = stack[-1][0] if stack else -1
-        counts = siblings.setdefault(parent, {})
-        counts[tag] = counts.get(tag, 0) + 1
-        counts[""] = counts.get("", 0) + 1
-        node = [counter, counter, parent, tag, counts[tag], 0, counts[""], 0, {}, None, m.start(), m.end()]
-        counter += 1
-        if every or tag in tags or node[0] == 0:
+        here = back = 0
+        if places:
+            counts = siblings.setdefault(parent, {})
+            here = counts[tag] = counts.get(tag, 0) + 1
+            back = counts[""] = counts.get("", 0) + 1
+        node = None
+        if every or tag in tags or counter == 0:
+            found = {}
+            if rest and attrs:
+                for a in _ATTR.finditer(rest):
+                    name = a[1].decode("utf-8", "replace").lower()
+                    if name in attrs and name not in found:
+                        found[name] = _decode(a[2] or a[3] or a[4] or b"")
+            node = [counter, counter, parent, tag, here, 0, back, 0, found, None, begin, end]
             kept.append(node)
-            for a in _ATTR.finditer(m[3]) if m[3] else ():
-                name = a[1].decode("utf-8", "replace").lower()
-                if name in attrs and name not in node[8]:
-                    node[8][name] = _decode(next((g for g in a.groups()[1:] if g is not None), b""))
+        counter += 1
         if tag in _VOID:
             continue
-        stack.append(node)
+        stack.append((counter - 1, tag, node))
         open_count[tag] = open_count.get(tag, 0) + 1
         if tag in _RAW:
-            end = re.compile(rb"</" + re.escape(m[2]) + rb"\s*>", re.I).search(source, at)
-            stop = end.start() if end else size
+            tail = re.compile(rb"</" + re.escape(written) + rb"\s*>", re.I).search(source, at)
+            stop = tail.start() if tail else size
             if stop > at and text_of:
                 add_text(at, stop, tag in ("script", "style"))
-            close(1, end.end() if end else size)
-            at = end.end() if end else size
+            at = tail.end() if tail else size
+            close(1, at)
     if at < size and text_of:
         add_text(at, size, False)
     close(len(stack), size)
-    for node in kept:
-        if node[3] != "#text":
-            counts = siblings[node[2]]
-            node[5], node[7] = counts[node[3]] - node[4] + 1, counts[""] - node[6] + 1
+    if places:
+        for node in kept:
+            if node[3] != "#text":
+                counts = siblings[node[2]]
+                node[5], node[7] = counts[node[3]] - node[4] + 1, counts[""] - node[6] + 1
     return kept
 
 
+def _implied(stack: list, ends, limit) -> int:
+    """How many open elements a start tag ends."""
+    cut = 0
+    for depth in range(1, len(stack) + 1):
+        tag = stack[-depth][1]
+        if tag in limit:
+            break
+        if tag in ends:
+            cut = depth
+    return cut
+
+
 _INTS = {0: "pre", 1: "last", 2: "parent", 4: "nth", 5: "nth_last", 6: "pos", 7: "pos_last", 10: "start", 11: "stop"}
 _ORDER = ["pre", "last", "parent", "tag", "nth", "nth_last", "pos", "pos_last", "attrs", "text", "start", "stop"]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -311,15 +311,17 @@ class Wanted:
 
     tags: frozenset = frozenset()
     attrs: frozenset = frozenset()
-    text_of: frozenset = field(default_factory=frozenset)  # parents whose text is read; '*' is all
+    text_of: frozenset = frozenset()  # parents whose text is read; '*' is all
+    places: bool = False              # positions among siblings are tested
 
     @staticmethod
     def of(selectors, tags=(), attrs=()) -> "Wanted":
-        tags, attrs, text_of = set(tags), set(attrs), set()
+        tags, attrs, text_of, places = set(tags), set(attrs), set(), False
         for s in selectors:
             for i, step in enumerate(s.steps):
                 tags.add(step.tag)
                 attrs |= step.attrs
+                places |= any(isinstance(t, Position) for t in step.tests)
                 if step.tag == "#text":
                     parent = s.steps[i - 1].tag if i and not step.descend else "*"
                     text_of.add(parent)
@@ -327,4 +329,4 @@ class Wanted:
                 attrs.add(s.attr)
                 if not s.steps:
                     tags.add("*")
-        return Wanted(frozenset(tags), frozenset(attrs), frozenset(text_of))
+        return Wanted(frozenset(tags), frozenset(attrs), frozenset(text_of), places)
