@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import WHITESPACE, all_matches, empty_strings, java_regex, java_replacement, retext, strip
+from .base import WHITESPACE, all_matches, empty_strings, java_regex, java_replacement, let, retext, strip
 
 # What counts as a tag, as an entity and as active markup.
 TAG = r"(?s)</?[^ >/][^>]*>"
@@ -42,21 +42,24 @@ def clean_markup(text: Column) -> Column:
 
 def code_point(number: Column) -> Column:
     """The character with this code point; null outside Unicode."""
-    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    safe = F.when(valid, number)
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
 
 
 def unescape(text: Column) -> Column:
     """HTML entities to text; unknown entities stay as they are."""
     table = F.str_to_map(F.lit(NAMED_ENTITIES), F.lit("\x01"), F.lit("\x02"))  # folded to one map literal
 
+    def read(body: Column) -> Column:
+        """What stands between ``&`` and ``;``."""
+        digits = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
+        return F.when(body.startswith("#"), let(digits.try_cast("bigint"), code_point)).otherwise(
+            F.try_element_at(table, body))
+
     def decode(token: Column) -> Column:
-        body = F.regexp_extract(token, ENTITY, 1)
-        number = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(
-            body.startswith("#"), F.substr(body, F.lit(2))).try_cast("bigint")
-        char = F.when(body.startswith("#"), code_point(number)).when(body != "", F.try_element_at(table, body))
-        return F.when(token.startswith("&"), F.coalesce(char, token)).otherwise(token)
+        is_entity = token.startswith("&") & token.endswith(";")
+        char = let(F.substring(token, F.lit(2), F.char_length(token) - 2), read)
+        return F.when(is_entity, F.coalesce(char, token)).otherwise(token)
 
     return F.when(text.contains("&"), retext(text, ENTITY + "|[^&]+|&", decode)).otherwise(text)
 

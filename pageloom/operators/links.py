@@ -84,8 +84,8 @@ def region_anchors(nodes: Column, source: Column, region: Selector) -> Column:
 def _page_base() -> Column:
     """The address that the page's references are relative to."""
     own, tag = F.col("src_url"), F.btrim(F.regexp_extract("html", _BASE, 1), F.lit("\"'"))
-    given = urls.resolve(urls.base_parts(own), tag)
-    return urls.base_parts(F.when(F.col("html").rlike(r"(?i)<base\s"), given).otherwise(own))
+    given = let(urls.base_parts(own), lambda page: urls.resolve(page, tag))
+    return let(F.when(F.col("html").rlike(r"(?i)<base\s"), given).otherwise(own), urls.base_parts)
 
 
 def _links(anchors: Column, base: Column) -> Column:
