@@ -42,12 +42,7 @@ def write_items(items: DataFrame, target: str | None = None, fmt: str = "parquet
     if dry_run:
         return items
     if keys and fmt == "table":
-        match = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-        condition = match[0]
-        for m in match[1:]:
-            condition = condition & m
-        source = latest_rows(items, keys, arrival).alias("s")
-        source.mergeInto(target, condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+        merge_table(items, target, keys, arrival)
         return items
     if keys:
         write_snapshot(items, target, keys, arrival, fmt)
@@ -59,6 +54,16 @@ def write_items(items: DataFrame, target: str | None = None, fmt: str = "parquet
     return items
 
 
+def merge_table(new: DataFrame, table: str, keys: Sequence[str], arrival: Sequence[str]) -> None:
+    """Upsert into a table whose format has row-level merge."""
+    source = latest_rows(new, keys, arrival).alias("source")
+    same = [F.col(f"{table}.{k}").eqNullSafe(F.col(f"source.{k}")) for k in keys]
+    condition = same[0]
+    for test in same[1:]:
+        condition = condition & test
+    source.mergeInto(table, condition).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+
+
 def write_snapshot(new: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str],
                    fmt: str = "parquet") -> int:
     """Upsert for plain files: the merged rows become ``snapshot=<n+1>``; returns its number."""

@@ -178,6 +178,17 @@ def test_upsert_snapshots(spark, tmp_path):
     assert {tuple(r) for r in write.read_snapshot(spark, path).collect()} == set(state.values())
 
 
+def test_merge_is_resolved_up_to_the_table_format(spark, tmp_path):
+    """No format here merges rows, so Spark must refuse the format and nothing else."""
+    df = spark.createDataFrame(BATCHES[0], SCHEMA)
+    df.write.option("path", str(tmp_path / "m")).saveAsTable("merge_target")
+    try:
+        with pytest.raises(Exception, match="MERGE INTO TABLE"):
+            write.write_items(df, "merge_target", fmt="table", keys=["id"], arrival=["at"])
+    finally:
+        spark.sql("DROP TABLE merge_target")
+
+
 def test_append_partitioned_and_dry_run(spark, tmp_path):
     df = write.with_output_parts(spark.createDataFrame(BATCHES[0], SCHEMA), F.lit(NOW), "r")
     path = str(tmp_path / "a")
