@@ -16,7 +16,7 @@ from ..sources.keywords import clean_lines
 from ..sources.pages import PAGE_SCHEMA
 from ..streaming import streams
 from .item_queries import H1, TITLE
-from .link_queries import ANCHORS, FIRST, canonical
+from .link_queries import ANCHORS, ENCODED, FIRST, canonical
 from .registry import Tables, query
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -48,15 +48,14 @@ def stream_items(t: Tables) -> DataFrame:
     return _rows(t, extract_html_items(_stream(t, "pages", PAGE_SCHEMA), fields).select("page_id", "title"), "items")
 
 
-@query("""SELECT doc_id, 'http://x.example/?q=' || replace(url_encode(line), '%20', '+') AS url FROM (
+@query(f"""SELECT doc_id, 'http://x.example/?q=' || {ENCODED.format('line')} AS url FROM (
 SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
-WHERE line <> '' AND NOT starts_with(line, '#') AND regexp_matches(line, '^[A-Za-z]+$')""")
+WHERE line <> '' AND NOT starts_with(line, '#')""")
 def stream_seeds(t: Tables) -> DataFrame:
-    """Document lines as an endless keyword queue; one-word lines become seeds."""
+    """Document lines as an endless keyword queue."""
     lines = _stream(t, "documents", "doc_id bigint, text string")
     words = clean_lines(lines.select("doc_id", F.explode(F.split("text", "\n")).alias("value")))
-    found = seed_urls(words.filter(F.col("keyword").rlike("^[A-Za-z]+$")), "http://x.example/", "q")
-    return _rows(t, found.select("doc_id", "url"), "seeds")
+    return _rows(t, seed_urls(words, "http://x.example/", "q").select("doc_id", "url"), "seeds")
 
 
 @query(f"""SELECT DISTINCT sha1(canon) AS url_sha1 FROM (
