@@ -98,7 +98,7 @@ def extract_html_items(pages: DataFrame, fields: Fields, loop: str | None = None
 
     def per_context(row_of: Callable[[Callable[[str], Values]], Column]) -> Column:
         nodes = F.col("_nodes")
-        contexts = select_nodes(nodes, row) if row else F.slice(nodes, 1, 1)
+        contexts = select_nodes(nodes, row) if row else F.slice(F.filter(nodes, lambda n: n["tag"] != "#text"), 1, 1)
         return let(F.col("html").cast("binary"), lambda source: F.flatten(F.transform(
             contexts, lambda c: row_of(lambda k: raw(k, nodes, source, c)))))
 

@@ -52,7 +52,7 @@ def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list
     """
     every, all_text = "*" in tags, "*" in text_of
     kept, stack, open_count, siblings, names = [], [], {}, {}, {}
-    counter, size, at = 0, len(source), 0
+    counter, size, at, first = 0, len(source), 0, True
     search = _TOKEN.search
 
     def add_text(start: int, stop: int, raw: bool) -> None:
@@ -104,7 +104,8 @@ def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list
             here = counts[tag] = counts.get(tag, 0) + 1
             back = counts[""] = counts.get("", 0) + 1
         node = None
-        if every or tag in tags or counter == 0:
+        if every or tag in tags or first:
+            first = False
             found = {}
             if rest and attrs:
                 for a in _ATTR.finditer(rest):

@@ -12,7 +12,7 @@ from ..operators import dedup, items, quality
 from ..operators.items import Job, extract_html_items, extract_json_items
 from ..operators.links import extract_links
 from ..sinks.write import media_manifest
-from .link_queries import ANCHORS, FIRST, HOST, canonical
+from .link_queries import ANCHORS, HOST, canonical
 from .registry import Tables, query
 
 NOW = datetime(2024, 2, 1, 12, 30, 5)

@@ -107,6 +107,12 @@ def test_loop_rows_and_absolute_paths(pages):
     assert [r.cell for r in css.collect()] == ["10", "20"]
 
 
+def test_text_before_the_root_is_not_the_root(spark):
+    pages = spark.createDataFrame([(1, "u", "\n <html><p>a</p> b</html>")], "page_id int, url string, html string")
+    row = extract_html_items(pages, {"all": {"xpath": ".//text()", "multi": True}, "p": {"xpath": "p/text()"}}).first()
+    assert row["all"] == ["a", " b"] and row.p == "a"
+
+
 def test_required_optional_multi_default(pages):
     assert first(pages, {"x": {"xpath": "//none"}}) is None
     got = first(pages, {"o": {"xpath": "//none", "opt": True}, "m": {"xpath": "//none", "multi": True},
@@ -119,7 +125,7 @@ def test_required_optional_multi_default(pages):
 
 def test_spec_errors():
     with pytest.raises(ValueError):
-        Field(xpath="//a[")and parse_selector("//a[")
+        Field(xpath="//a[").selector()
     with pytest.raises(TypeError):
         items.as_fields({"x": {"nope": 1}})
 
