@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +29,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))[0]
+
+
+@query()
+def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.scan_secrets(_read(spark, sf_dir, "documents"))[0])
