@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from ..session import prepare
+from . import mixing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +35,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(_read(spark, sf_dir, "documents"))[0])
+
+
+@query()
+def op7_rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
