@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,20 +20,24 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = (1 << 30) - 1
 
 
-def word_terms(word: str) -> list[int]:
-    """Hashes of a word and, for longer ones, of its first four and five letters (inflected forms share them)."""
-    raw = word.encode("utf-8", "surrogatepass")
-    out = [xxh32_intdigest(raw) & SPACE]
-    if len(word) > 5:
-        out += [xxh32_intdigest(word[:4].encode("utf-8", "surrogatepass"), 4) & SPACE,
-                xxh32_intdigest(word[:5].encode("utf-8", "surrogatepass"), 5) & SPACE]
-    elif len(word) == 5:
-        out.append(xxh32_intdigest(word[:4].encode("utf-8", "surrogatepass"), 4) & SPACE)
+def word_terms(word: str, again: bool) -> list[int]:
+    """Hashes of a word, of its first four and five letters (inflected forms share them), and of its repetition."""
+    def term(part: str, kind: int) -> int:
+        return xxh32_intdigest(part.encode("utf-8", "surrogatepass"), kind) & SPACE
+
+    out = [term(word, 0)]
+    if len(word) >= 5:
+        out.append(term(word[:4], 4))
+    if len(word) >= 6:
+        out.append(term(word[:5], 5))
+    if again:
+        out.append(term(word, 2))
     return out
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set(LETTERS.findall(text.lower())) if text else set()
+def words_seen(text: str | None) -> list[tuple[str, bool]]:
+    """Every distinct word of a text, and whether it comes more than once."""
+    return [(w, n > 1) for w, n in Counter(LETTERS.findall(text.lower())).items()] if text else []
 
 
 @dataclass(frozen=True)
@@ -60,7 +65,7 @@ def _raw(bias: float, weights: np.ndarray, factors: np.ndarray, rows: np.ndarray
     return bias + line + 0.5 * ((sums ** 2).sum(1) - squares), sums
 
 
-def learn_machine(terms: np.ndarray, texts: list[np.ndarray], y: np.ndarray, factors: int = 4, rounds: int = 80,
+def learn_machine(terms: np.ndarray, texts: list[np.ndarray], y: np.ndarray, factors: int = 4, rounds: int = 200,
                   rate: float = 0.05, ridge: float = 1e-4, seed: int = 3) -> Machine:
     """Adam on the logistic loss over all rows. ``texts`` hold places in ``terms``."""
     share = (y.sum() + 1) / (len(y) + 2)
@@ -94,7 +99,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_t
 
     @F.pandas_udf("array<int>")
     def hashed(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: sorted({h for w in distinct_words(t) for h in word_terms(w)}))
+        return text.map(lambda t: sorted({h for w in words_seen(t) for h in word_terms(*w)}))
 
     sample = labelled_sample(docs, labels, label_col, bound, ~held_out(F.col(id_col), parts, part), id_col, text_col)
     sample = scratch.keep(sample.select("_id", "label", hashed("text").alias("terms")), "terms")
@@ -131,16 +136,16 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[tuple[str, bool], tuple[int, ...]] = {}
         for part in parts:
             if len(known) > 200_000:
                 known.clear()
             texts = []
             for text in part:
                 at: set[int] = set()
-                for w in distinct_words(text):
+                for w in words_seen(text):
                     if (found := known.get(w)) is None:
-                        found = known[w] = tuple(model.place[h] for h in word_terms(w) if h in model.place)
+                        found = known[w] = tuple(model.place[h] for h in word_terms(*w) if h in model.place)
                     at.update(found)
                 texts.append(sorted(at))
             yield pd.Series(model.probability(texts))
