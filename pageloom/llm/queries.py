@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing, quality, secrets, toxicity
+from . import mixing, personal, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +48,9 @@ def op7_rank_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity.classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_scan_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.scan_personal(_read(spark, sf_dir, "documents"))
+    return found.withColumn("base", F.sha2("base", 256)).withColumnRenamed("base", "base_sha256")
