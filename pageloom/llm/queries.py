@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing, personal, quality, secrets, toxicity
+from . import jaccard, mixing, personal, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +54,8 @@ def op3_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_scan_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.scan_personal(_read(spark, sf_dir, "documents"))
     return found.withColumn("base", F.sha2("base", 256)).withColumnRenamed("base", "base_sha256")
+
+
+@query()
+def op10_join_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
