@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import jaccard, mixing, personal, quality, secrets, toxicity
+from . import decontaminate, jaccard, line_dedup, mixing, personal, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,14 @@ def op9_scan_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_join_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op4_find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
