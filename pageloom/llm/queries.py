@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, jaccard, line_dedup, mixing, personal, quality, secrets, toxicity
+from . import decontaminate, embed_dedup, jaccard, line_dedup, mixing, personal, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +70,8 @@ def op2_drop_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_link_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
