@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, embed_dedup, jaccard, line_dedup, mixing, personal, quality, secrets, toxicity
+from . import decontaminate, embed_dedup, jaccard, line_dedup, mixing, personal, quality, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,3 +75,9 @@ def op4_find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_link_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op6_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(prepare(spark), sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.labelled_urls(pages, _read(spark, sf_dir, "labels")))
