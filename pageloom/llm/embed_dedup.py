@@ -137,7 +137,7 @@ def near_vectors(rows: DataFrame, least: float = 0.93, near: int = 12, shared: i
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "cut", "n"))
 
-    def compared(key, group: pd.DataFrame) -> pd.DataFrame:
+    def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, size, pivot, low, high = key
         group = group.sort_values("vec_id")
         lists = np.array(group.pivots.tolist(), int)

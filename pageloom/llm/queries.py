@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, embed_dedup, jaccard, line_dedup, mixing, personal, quality, secrets, toxicity, url_filter
+from . import decontaminate, embed_dedup, jaccard, line_dedup, mixing, oracles, personal, quality, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))[0]
 
 
-@query()
+@query(oracles.SECRETS)
 def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.scan_secrets(_read(spark, sf_dir, "documents"))[0])
 
@@ -56,7 +56,7 @@ def op9_scan_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", F.sha2("base", 256)).withColumnRenamed("base", "base_sha256")
 
 
-@query()
+@query(oracles.JACCARD)
 def op10_join_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -72,7 +72,7 @@ def op4_find_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(oracles.EMBEDDINGS)
 def op5_link_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
