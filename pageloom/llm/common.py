@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,9 +88,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
 
 
-def batches(columns: dict, schema) -> Iterator:
-    import pyarrow as pa
-    yield pa.RecordBatch.from_pydict(columns, schema=schema)
+def small_side(df: DataFrame, numbers: int = 4_000_000) -> DataFrame:
+    """``df`` to be broadcast in a join if it holds at most ``numbers`` numbers (those in arrays count each), else as it is.
+
+    Without the broadcast Spark shuffles both sides; the result is the same.
+    """
+    arrays = [F.size(c) for c, kind in df.dtypes if kind.startswith("array")]
+    held = df.agg(F.coalesce(F.sum(sum(arrays, F.lit(len(df.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= numbers else df
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:

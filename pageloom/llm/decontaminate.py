@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, mixed, shingle_hashes, word_hashes, words
+from .common import Scratch, fresh, mixed, shingle_hashes, small_side, word_hashes, words
 
 SHINGLE = 5
 
@@ -197,5 +197,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs``, with their columns, that hold no benchmark item; rows with a null id stay."""
     name = fresh(docs, "_found")
     found = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(name)).distinct()
-    found = Scratch(docs.sparkSession, "contaminated").keep(found, "ids")
+    found = small_side(Scratch(docs.sparkSession, "contaminated").keep(found, "ids"))
     return docs.join(found, docs[id_col].cast("long") == found[name], "left_anti")

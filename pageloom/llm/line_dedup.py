@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, fresh, words
+from .common import Scratch, fresh, small_side, words
 
 
 def line_hash(line: str) -> tuple[int, int]:
@@ -189,7 +189,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = repeated_lines(docs, id_col=id_col, text_col=text_col, **options)
     one, two, three = (fresh(docs, f"_{c}") for c in ("doc", "mark", "places"))
-    found = found.toDF(one, two, three)
+    found = small_side(found.toDF(one, two, three))
     text = F.col(text_col)
     both = docs.join(found, (docs[id_col].cast("long") == found[one]) & (F.xxhash64(docs[text_col]) == found[two]), "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col(three), i)), "\n")
