@@ -11,7 +11,7 @@ from .base import WHITESPACE, all_matches, empty_strings, java_regex, java_repla
 
 # What counts as a tag, as an entity and as active markup.
 TAG = r"(?s)</?[^ >/][^>]*>"
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,7});"
+ENTITY = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 COMMENT = r"(?s)<!--.*?-->"
 NAMED_ENTITIES = "\x01".join(f"{name}\x02{chr(point)}" for name, point in [*name2codepoint.items(), ("apos", 39)])
 # Letters without a one-character upper case; they stay, as in Python's own rule of one for one.
@@ -52,7 +52,9 @@ def unescape(text: Column) -> Column:
 
     def read(body: Column) -> Column:
         """What stands between ``&`` and ``;``."""
-        digits = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).otherwise(F.substr(body, F.lit(2)))
+        sixteens = F.ltrim(F.substr(body, F.lit(3)), F.lit("0"))
+        sixteens = F.conv(F.when(F.length(sixteens) <= 8, sixteens), 16, 10)  # longer ones are beyond all characters
+        digits = F.when(body.rlike("^#[xX]"), sixteens).otherwise(F.substr(body, F.lit(2)))
         return F.when(body.startswith("#"), let(digits.try_cast("bigint"), code_point)).otherwise(
             F.try_element_at(table, body))
 

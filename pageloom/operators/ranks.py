@@ -30,27 +30,31 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
         earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     else:
         earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("_part", *keys, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return placed.join(runs, ["_part", *keys]).withColumn(
-        "rank", F.col("_before") + F.col("_inside") - F.col("_first")).drop("_part", "_inside", "_first", "_before")
+    runs = runs.select(
+        F.col("_part").alias("_run"), *[F.col(k).alias(f"_run_{i}") for i, k in enumerate(keys)], "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_run")
+    for i, k in enumerate(keys):  # a null key is a key like any other
+        same &= F.col(k).eqNullSafe(F.col(f"_run_{i}"))
+    return placed.join(runs, same).select(*df.columns, (F.col("_before") + F.col("_inside") - F.col("_first")).alias("rank"))
 
 
 def rank_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0,
-               stop: int = -1) -> DataFrame:
-    """Rows at places ``start`` to ``stop`` (both in; -1 is the end) of each key, with ``rank``.
+               stop: int | None = None) -> DataFrame:
+    """Rows at places ``start`` to ``stop`` (both in; None is the end) of each key, with ``rank``.
 
     A short slice is a window whose rank limit Spark applies before the shuffle; a
     long or open one is ranked by ``with_rank``.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if keys and 0 <= stop < limit:
+    if keys and stop is not None and stop < limit:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         first = df.withColumn("rank", place).filter(F.col("rank") <= stop + 1)
         return first.withColumn("rank", (F.col("rank") - 1).cast("bigint")).filter(F.col("rank") >= start)
-    if not keys and 0 <= stop < limit:  # top rows of each partition, merged
+    if not keys and stop is not None and stop < limit:  # top rows of each partition, merged
         few = df.orderBy(*order).limit(stop + 1)
         return few.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint")).filter(
             F.col("rank") >= start)
     ranked = with_rank(df, keys, order)
     inside = F.col("rank") >= start
-    return ranked.filter(inside if stop < 0 else inside & (F.col("rank") <= stop))
+    return ranked.filter(inside if stop is None else inside & (F.col("rank") <= stop))

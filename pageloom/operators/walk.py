@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +20,22 @@ def link_edges(pages: DataFrame, rules: Iterable[LinkRule], domains: Iterable[st
                         "url", "do_follow").distinct()
 
 
-def walk(pages: DataFrame, seeds: DataFrame, rules: Iterable[LinkRule], max_depth: int,
+def walk(pages: DataFrame, seeds: DataFrame, rules: Iterable[LinkRule], max_depth: int | None = None,
          domains: Iterable[str] = ()) -> DataFrame:
-    """URLs reached from ``seeds(url)`` in at most ``max_depth`` steps.
+    """URLs reached from ``seeds(url)``, in at most ``max_depth`` steps if that is given, else until nothing is new.
 
     Columns ``url_sha1, url, depth``; depth 0 is a seed. A link that is only parsed
     (``follow`` False) is reached but not walked on from. The pages' source is read
     once, into an edge table. A hop joins the new fingerprints with the edges, keeps one
     row per target (before the shuffle) and drops what was reached before; addresses are
-    looked up once, at the end.
+    looked up once, at the end. The edges are laid out by source once, so a hop does not
+    move them again.
     """
-    edges = cut_lineage(link_edges(pages, rules, domains))
+    edges = cut_lineage(link_edges(pages, rules, domains).repartition("src_sha1"))
     start = seeds.select(url_sha1(F.col("url")).alias("url_sha1"), "url")
     frontier = cut_lineage(start.select("url_sha1", F.lit(True).alias("go_on"), F.lit(0).alias("depth")).distinct())
     reached = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         sources = frontier.filter("go_on").select(F.col("url_sha1").alias("src_sha1"))
         targets = edges.join(sources, "src_sha1", "left_semi")
         targets = targets.groupBy("url_sha1").agg(F.max("do_follow").alias("go_on"))

@@ -111,9 +111,8 @@ def date_tz(t: Tables) -> DataFrame:
     f"CAST(epoch(date_trunc('{u}', ts)) AS BIGINT) AS {u}_start" for u in ("second", "minute", "hour", "day", "month", "year"))
     + " FROM events")
 def date_trunc_unit(t: Tables) -> DataFrame:
-    names = dict(zip(("second", "minute", "hour", "day", "month", "year"), dates.SCALE_TRUNC))
-    return t.events.select("event_id", *[dates.seconds(dates.truncate(F.col("ts"), scale)).alias(f"{u}_start")
-                                         for u, scale in names.items()])
+    return t.events.select("event_id", *[dates.seconds(dates.truncate(F.col("ts"), u)).alias(f"{u}_start")
+                                         for u in dates.TRUNC_UNITS])
 
 
 @query("""SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, CAST(floor(epoch(ts)) AS BIGINT) AS again FROM events""")

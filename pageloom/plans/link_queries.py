@@ -188,39 +188,42 @@ def url_query_map(t: Tables) -> DataFrame:
 
 # --- seen set --------------------------------------------------------------------------
 
-def _visits(t: Tables, kind: str) -> DataFrame:
-    """Events as visits: the user number names the page."""
-    events = t.events.filter(F.col("event_type") == kind)
-    return events.join(t.pages.select("page_id", "url"), events.user_id == F.col("page_id")).select(
-        "event_id", "ts", F.concat("url", F.lit("#visit")).alias("url"))
+_CUT, _NOW = datetime(2024, 1, 8), datetime(2024, 1, 10)
 
 
-def _visits_sql(kind: str) -> str:
-    return f"""(SELECT event_id, ts, {canonical("url || '#visit'")} AS canon
-      FROM events JOIN pages ON user_id = page_id WHERE event_type = '{kind}')"""
+def _visits(t: Tables, new: bool) -> DataFrame:
+    """Events as visits, those before the cut or from it on: the user number names the page, or a site of its own."""
+    events = t.events.filter(F.col("ts") >= F.lit(_CUT) if new else F.col("ts") < F.lit(_CUT))
+    url = F.coalesce("url", F.concat(F.lit("http://users.example/"), "user_id"))
+    return events.join(t.pages.select("page_id", "url"), events.user_id * 2 == F.col("page_id"), "left").select(
+        "event_id", "ts", F.concat(url, F.lit("#visit")).alias("url"))
 
 
-_NOW = datetime(2024, 1, 10)
-_SEEN_SQL = f"""seen AS (SELECT sha1(canon) AS url_sha1, min(ts) AS seen_at FROM {_visits_sql('purchase')} GROUP BY 1)"""
+def _visits_sql(new: bool) -> str:
+    return f"""(SELECT event_id, ts, {canonical("coalesce(url, 'http://users.example/' || user_id) || '#visit'")} AS canon
+      FROM events LEFT JOIN pages ON user_id * 2 = page_id WHERE ts {'>=' if new else '<'} TIMESTAMP '2024-01-08')"""
+
+
+_SEEN_SQL = f"""seen AS (SELECT sha1(canon) AS url_sha1, min(ts) AS seen_at FROM {_visits_sql(False)} GROUP BY 1)"""
 _KEPT_SQL = "kept AS (SELECT * FROM seen WHERE seen_at >= TIMESTAMP '2024-01-03')"
 
 
 def _seen(t: Tables) -> DataFrame:
-    return dedup.record_seen(None, _visits(t, "purchase"), F.col("ts"))
+    return dedup.record_seen(None, _visits(t, False), F.col("ts"))
 
 
 @query(f"""WITH {_SEEN_SQL}, {_KEPT_SQL}
-SELECT event_id, sha1(canon) AS url_sha1 FROM {_visits_sql('view')} WHERE sha1(canon) NOT IN (SELECT url_sha1 FROM kept)""")
+SELECT event_id, sha1(canon) AS url_sha1 FROM {_visits_sql(True)} WHERE sha1(canon) NOT IN (SELECT url_sha1 FROM kept)""")
 def dedup_anti(t: Tables) -> DataFrame:
     kept = dedup.purge_seen(_seen(t), F.lit(_NOW))
-    return dedup.drop_seen(_visits(t, "view"), kept).select("event_id", "url_sha1")
+    return dedup.drop_seen(_visits(t, True), kept).select("event_id", "url_sha1")
 
 
 @query(f"""WITH {_SEEN_SQL}, {_KEPT_SQL}
 SELECT count(*) FILTER (sha1(canon) IN (SELECT url_sha1 FROM kept)) AS item_duplicated_count, count(*) AS total
-FROM {_visits_sql('view')}""")
+FROM {_visits_sql(True)}""")
 def dedup_counts(t: Tables) -> DataFrame:
-    return dedup.seen_counts(_visits(t, "view"), dedup.purge_seen(_seen(t), F.lit(_NOW)))
+    return dedup.seen_counts(_visits(t, True), dedup.purge_seen(_seen(t), F.lit(_NOW)))
 
 
 @query(f"""WITH {_SEEN_SQL} SELECT count(*) FILTER (seen_at < TIMESTAMP '2024-01-03') AS removed, count(*) AS total
@@ -230,11 +233,11 @@ def seen_purge_counts(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SEEN_SQL}, {_KEPT_SQL}, every AS (SELECT * FROM kept UNION ALL
-  SELECT sha1(canon), ts FROM {_visits_sql('signup')})
+  SELECT sha1(canon), ts FROM {_visits_sql(True)})
 SELECT url_sha1, CAST(epoch(min(ts)) AS BIGINT) AS seen_at FROM (SELECT url_sha1, seen_at AS ts FROM every) GROUP BY 1""")
 def seen_record(t: Tables) -> DataFrame:
     kept = dedup.purge_seen(_seen(t), F.lit(_NOW))
-    grown = dedup.record_seen(kept, _visits(t, "signup"), F.col("ts"))
+    grown = dedup.record_seen(kept, _visits(t, True), F.col("ts"))
     return grown.select("url_sha1", F.round(F.unix_micros("seen_at") / 1e6).cast("bigint").alias("seen_at"))
 
 
@@ -282,19 +285,30 @@ def links_bad_url(t: Tables) -> DataFrame:
     return links.drop_bad_urls(extract_links(t.pages.withColumn("url", url))).select("src_page_id", "url")
 
 
-@query("""SELECT page_id AS src_page_id, replace(url, 'page=2', 'page=' || n) AS url FROM pages, range(1, 9) AS r(n)
-WHERE contains(url, 'page=2') AND n BETWEEN 2 AND 5""")
+@query(r"""SELECT page_id AS src_page_id, regexp_extract(url, '^[^?#]*') || '?page=' || n || '&ref=x' AS url
+FROM pages, range(1, 9) AS r(n) WHERE n BETWEEN 2 AND 5""")
 def next_pages(t: Tables) -> DataFrame:
-    """A pager of eight links under each listing page; numbers 2 to 5 are followed."""
-    listing = t.pages.filter(F.col("url").contains("page=2"))
+    """A pager of eight links under each page; numbers 2 to 5 are followed."""
     numbers = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda n: F.concat(
         F.lit('<a class="p" href="?page='), n, F.lit("&amp;ref=x\">"), n, F.lit("</a>")))
     pager = F.concat(F.lit('<div id="pager">'), F.array_join(numbers, " "), F.lit("</div></html>"))
-    pages = listing.withColumn("html", F.concat(F.replace("html", F.lit("</html>"), F.lit("")), pager))
+    pages = t.pages.withColumn("html", F.concat(F.replace("html", F.lit("</html>"), F.lit("")), pager))
     found = links.next_page_links(pages, r"page=(\d+)", css="div#pager a.p", start=2, stop=6)
     return found.select("src_page_id", "url")
 
 
+@query("""SELECT page_id AS src_page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/list?a=1&region=eu&section=2&param=x&copy=' || page_id
+AS url, 'go > on' AS text, way FROM pages, (VALUES ('plain'), ('region')) AS w(way)""")
+def links_query_names(t: Tables) -> DataFrame:
+    """Query fields that read like entities, ``>`` and ``href=`` inside other attributes; with and without a region."""
+    tag = F.concat(F.lit('<a title="a > b" data-note="see href=/wrong" href="/list?a=1&region=eu&section=2&param=x&amp;copy='),
+                   "page_id", F.lit('">go &gt; on</a></body>'))
+    pages = t.pages.withColumn("html", F.concat(F.regexp_replace("html", "</(body|html)>", ""), tag))
+    found = [extract_links(pages, [LinkRule("r", regex="/list", css=css)]).withColumn("way", F.lit(way))
+             for way, css in (("plain", None), ("region", "body"))]
+    return found[0].unionByName(found[1]).select("src_page_id", "url", "text", "way")
+
+
 # --- walk ------------------------------------------------------------------------------------
 
 def _site(t: Tables) -> DataFrame:
@@ -312,12 +326,12 @@ def _site(t: Tables) -> DataFrame:
 @query(f"""WITH RECURSIVE c AS (SELECT page_id, {canonical('url')} AS canon FROM pages),
 e AS (SELECT DISTINCT p.canon AS src, k.canon AS dst FROM c k JOIN c p ON k.page_id > 0 AND (k.page_id - 1) // 2 = p.page_id),
 w(canon, depth) AS (SELECT canon, 0 FROM c WHERE page_id = 0
-  UNION SELECT dst, depth + 1 FROM w JOIN e ON src = w.canon WHERE depth < 6)
+  UNION SELECT dst, depth + 1 FROM w JOIN e ON src = w.canon WHERE depth < 100)
 SELECT page_id, min(depth) AS depth FROM c JOIN w USING (canon) GROUP BY page_id""")
 def walk_depth(t: Tables) -> DataFrame:
     site = _site(t)
     seeds = site.filter("page_id = 0").select("url")
-    reached = walk(site, seeds, [LinkRule("down")], max_depth=6)
+    reached = walk(site, seeds, [LinkRule("down")])
     return walked_pages(site, reached).select("page_id", "depth")
 
 

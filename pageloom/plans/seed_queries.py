@@ -85,7 +85,16 @@ def kv_zset_ranks(t: Tables) -> DataFrame:
 row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_name) - 1 AS r FROM customer) WHERE r >= 10""")
 def kv_zset_open(t: Tables) -> DataFrame:
     """The open slice of every key: ranked by range partitions."""
-    return rank_slice(_collection(t), ["key"], ["score", "member"], 10, -1).select("key", "member", "rank")
+    return rank_slice(_collection(t), ["key"], ["score", "member"], 10).select("key", "member", "rank")
+
+
+@query("""SELECT key, member, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS r
+FROM (SELECT nullif(c_mktsegment, 'BUILDING') AS key, c_name AS member, c_acctbal AS score FROM customer))""")
+def kv_zset_null_keys(t: Tables) -> DataFrame:
+    """One key is null: its first ten by the short slice, the others by the open one."""
+    rows = _collection(t).withColumn("key", F.nullif("key", F.lit("BUILDING")))
+    short = rank_slice(rows, ["key"], ["score", "member"], 0, 9)
+    return short.unionByName(rank_slice(rows, ["key"], ["score", "member"], 10)).select("key", "member", "rank")
 
 
 @query("SELECT DISTINCT c_name AS keyword FROM customer WHERE c_mktsegment = 'MACHINERY'")

@@ -15,7 +15,7 @@ from .registry import Tables, query
 @query("""WITH old AS (SELECT user_id, event_id, event_type, props FROM events WHERE ts < TIMESTAMP '2024-01-15'
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
 new AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = 'click' THEN NULL ELSE props END AS props
-  FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'view'
+  FROM events WHERE ts >= TIMESTAMP '2024-01-15'
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
 SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (
   SELECT 1 FROM new WHERE new.user_id = old.user_id AND new.event_type = old.event_type)""")
@@ -26,7 +26,7 @@ def upsert_latest(t: Tables) -> DataFrame:
     cut = F.lit(datetime(2024, 1, 15))
     old = events.filter(F.col("ts") < cut).withColumn("first", -F.col("event_id"))
     old = write.latest_rows(old, keys, ["first"]).drop("first", "ts")
-    new = events.filter((F.col("ts") >= cut) & (F.col("event_type") != "view")).drop("ts")
+    new = events.filter(F.col("ts") >= cut).drop("ts")
     new = new.withColumn("props", F.when(F.col("event_type") != "click", F.col("props")))
     return write.upsert_rows(old, new, keys, ["event_id"])
 

@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import rank_slice
 
-_ADDRESS = re.compile(r"(?P<key>[^[]+)(?:\[(?P<start>\d*):(?P<stop>\d*)\])?")
-
-
-def parse_slice(address: str) -> tuple[str, int, int]:
-    """``key[a:b]`` -> (key, a, b); both ends are in, an open end is -1."""
-    m = _ADDRESS.fullmatch(address)
-    if not m:
+def parse_slice(address: str) -> tuple[str, int, int | None]:
+    """``key[a:b]`` -> (key, a, b); both ends are in, an open end is None."""
+    key, bracket, rest = address.partition("[")
+    if not bracket:
+        rest = ":]"
+    ends = rest[:-1].split(":")
+    if not key or not rest.endswith("]") or len(ends) != 2 or not all(e == "" or e.isdecimal() for e in ends):
         raise ValueError(f"not a key or slice: {address!r}")
-    return m["key"], int(m["start"] or 0), int(m["stop"] or -1)
+    start, stop = (int(e) if e else None for e in ends)
+    return key, start or 0, stop
 
 
 def document_keywords(table: DataFrame, address: str, order: str) -> DataFrame:
     """Distinct values of one column; ``column[a:b]`` takes rows a to b in ``order``."""
     column, start, stop = parse_slice(address)
     rows = table.select(F.col(column).cast("string").alias("keyword"), F.col(order).alias("_order"))
-    if start > 0 or stop >= 0:
+    if start > 0 or stop is not None:
         rows = rank_slice(rows, [], ["_order"], start, stop)
     return rows.select("keyword").distinct()
 

@@ -41,8 +41,8 @@ def test_range_down(spark):
     assert [r.keyword for r in keywords.keyword_range(spark, 5, 0, -2).orderBy("ord").collect()] == ["5", "3", "1"]
 
 
-@pytest.mark.parametrize("address, expected", [("k", ("k", 0, -1)), ("k[2:5]", ("k", 2, 5)), ("k[:3]", ("k", 0, 3)),
-                                               ("k[4:]", ("k", 4, -1))])
+@pytest.mark.parametrize("address, expected", [("k", ("k", 0, None)), ("k[2:5]", ("k", 2, 5)), ("k[:3]", ("k", 0, 3)),
+                                               ("k[4:]", ("k", 4, None))])
 def test_slices(address, expected):
     assert collections.parse_slice(address) == expected
 
@@ -53,7 +53,7 @@ def hot_scores():
     return [("hot" if i % 3 else f"k{i % 7}", f"m{i}", float(random.randrange(20))) for i in range(6000)]
 
 
-@pytest.mark.parametrize("start, stop", [(0, 9), (5, -1), (100, 2500), (0, 0), (3999, 5000)])
+@pytest.mark.parametrize("start, stop", [(0, 9), (5, None), (100, 2500), (0, 0), (3999, 5000)])
 def test_rank_slice_against_python(spark, start, stop):
     rows = hot_scores()
     df = spark.createDataFrame(rows, "key string, member string, score double").repartition(5)
@@ -62,11 +62,18 @@ def test_rank_slice_against_python(spark, start, stop):
     for key in {r[0] for r in rows}:
         order = sorted((s, m) for k, m, s in rows if k == key)
         for i, (_, m) in enumerate(order):
-            if i >= start and (stop < 0 or i <= stop):
+            if i >= start and (stop is None or i <= stop):
                 expected[(key, m)] = i
     assert got == expected
 
 
+@pytest.mark.parametrize("stop", [9, 1500, None])
+def test_slices_keep_rows_of_a_null_key(spark, stop):
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "k").alias("key"), F.col("id").alias("score"))
+    got = ranks.rank_slice(df, ["key"], ["score"], 0, stop).groupBy("key").count().collect()
+    assert {r.key: r["count"] for r in got} == dict.fromkeys([None, "k"], 2000 if stop is None else stop + 1)
+
+
 def test_ranks_split_a_hot_key_over_tasks(spark):
     df = spark.createDataFrame(hot_scores(), "key string, member string, score double")
     placed = df.repartitionByRange(8, "key", "score", "member").withColumn("p", F.spark_partition_id())
