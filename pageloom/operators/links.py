@@ -21,9 +21,12 @@ from .selectors import Selector, Wanted, outer_html, parse_selector, select_node
 # One pass: comments, scripts and styles are taken whole, so anchors inside them are not seen.
 _PIECE = (r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
           r"|a(?:rea)?\s.*?(?:</a\s*>|(?=<a(?:rea)?\s)|\z))")
-_HREF = r"""(?is)^<a[^>]*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-_TEXT = r"(?is)^[^>]*+>(.*?)(?:</a\s*>|\z)"
-_BASE = r"""(?is)<base\s[^>]*?(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Attributes before href are taken whole, with their quoted values, so nothing in a value counts as markup.
+_TO_HREF = (r"""(?:[\s/]++|(?!href\s*=)[^\s/>="']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))?+|["'=])*+"""
+            r"""href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HREF = r"(?is)^<a(?:rea)?(?=[\s/])" + _TO_HREF
+_TEXT = r"""(?is)^<(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>(.*?)(?:</a\s*>|\z)"""
+_BASE = r"(?is)<base(?=[\s/])" + _TO_HREF
 HTML_BODY = r"(?is)^\s*(<!--.*?-->\s*)*(<!doctype html|<html)"
 
 
@@ -65,7 +68,8 @@ def page_anchors(source: Column) -> Column:
     pieces = F.regexp_extract_all(source, F.lit(_PIECE), F.lit(0))
     found = F.transform(pieces, lambda p: F.struct(
         F.regexp_extract(p, _HREF, 1).alias("href"), F.regexp_extract(p, _TEXT, 1).alias("text")))
-    return F.filter(found, lambda a: a["href"] != "")
+    found = F.filter(found, lambda a: a["href"] != "")
+    return F.transform(found, lambda a: a.withField("href", unescape(strip(F.btrim(a["href"], F.lit("\"'"))))))
 
 
 def region_anchors(nodes: Column, source: Column, region: Selector) -> Column:
@@ -83,7 +87,7 @@ def region_anchors(nodes: Column, source: Column, region: Selector) -> Column:
 
 def _page_base() -> Column:
     """The address that the page's references are relative to."""
-    own, tag = F.col("src_url"), F.btrim(F.regexp_extract("html", _BASE, 1), F.lit("\"'"))
+    own, tag = F.col("src_url"), unescape(F.btrim(F.regexp_extract("html", _BASE, 1), F.lit("\"'")))
     given = let(urls.base_parts(own), lambda page: urls.resolve(page, tag))
     return let(F.when(F.col("html").rlike(r"(?i)<base\s"), given).otherwise(own), urls.base_parts)
 
@@ -91,8 +95,7 @@ def _page_base() -> Column:
 def _links(anchors: Column, base: Column) -> Column:
     """Absolute address and plain text, in page order."""
     def link(a: Column, pos: Column) -> Column:
-        href = unescape(strip(F.btrim(a["href"], F.lit("\"'"))))
-        return F.struct(pos.alias("pos"), urls.resolve(base, href).alias("url"),
+        return F.struct(pos.alias("pos"), urls.resolve(base, strip(a["href"])).alias("url"),
                         strip(unescape(strip_tags(a["text"]))).alias("text"))
 
     return F.filter(F.transform(anchors, link), lambda x: x["url"].rlike("^(?i:https?|file)://"))

@@ -6,8 +6,8 @@ cluster needs no installed copy of this package.
 
 from __future__ import annotations
 
-import html
 import re
+from html.entities import name2codepoint
 
 import pyarrow as pa
 
@@ -16,6 +16,9 @@ _TOKEN = re.compile(
        |<(/?)([A-Za-z][^\s/>]*)((?:[^>"'=]+|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>""", re.S | re.X)
 _ATTR = re.compile(rb"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
+_ENTITY = re.compile("&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", re.A)
+_NAMED = {**name2codepoint, "apos": 39}
+
 # Fixed values of HTML: elements without content, with raw content, and implied ends.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title".split())
@@ -40,7 +43,17 @@ _ENDS |= {
 
 def _decode(raw: bytes) -> str:
     text = raw.decode("utf-8", "replace")
-    return html.unescape(text) if "&" in text else text
+    return _ENTITY.sub(_character, text) if "&" in text else text
+
+
+def _character(m: re.Match) -> str:
+    """What an entity stands for; an unknown one stays. Without its ``;`` it is none."""
+    name = m[1]
+    if name[0] != "#":
+        return chr(_NAMED[name]) if name in _NAMED else m[0]
+    digits = name[2:].lstrip("0") if name[1] in "xX" else name[1:].lstrip("0")
+    point = int(digits[:9] or "0", 16 if name[1] in "xX" else 10)  # nine digits are beyond all characters
+    return chr(point) if 0 < point < 0xD800 or 0xE000 <= point <= 0x10FFFF else m[0]
 
 
 def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list[list]:

@@ -35,6 +35,18 @@ def test_anchors_and_base(hub):
         ("all", "http://other.org/", "o")]
 
 
+@pytest.mark.parametrize("tag, url", [
+    ('<a href="/l?a=1&region=eu&section=2&param=x&copy=1">', "/l?a=1&region=eu&section=2&param=x&copy=1"),
+    ('<a href="/l?x=1&amp;amp;y">', "/l?x=1&amp;y"), ('<a title="a > b" href="/one">', "/one"),
+    ('<a data-note="see href=/wrong" href=\'/right\'>', "/right"), ("<a data-href=/wrong hreflang=en href=/right/>", "/right/"),
+    ('<a title=\'"\' class=a/b HREF = "/x y">', "/x%20y"), ('<a title="t"href="/near">', "/near"), ("<a name=n>", None)])
+def test_anchor_attributes(spark, tag, url):
+    pages = spark.createDataFrame([(1, "http://s/p", f"<html><body>{tag}go</a></body></html>")], "page_id bigint, url string, html string")
+    plain, region = ([(r.url, r.text) for r in extract_links(pages, [LinkRule("r", css=css)]).collect()] for css in (None, "body"))
+    assert plain == region
+    assert [u.replace(" ", "%20") for u, _ in plain] == ([] if url is None else ["http://s" + url])
+
+
 def test_region_gives_the_same_as_plain_reading(hub):
     plain = extract_links(hub).drop("rule", "pos")
     region = extract_links(hub, [LinkRule("all", xpath="//body")]).drop("rule", "pos")
