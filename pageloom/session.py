@@ -1,4 +1,4 @@
-"""Session needs: one clock zone, a checkpoint folder, enough scan partitions."""
+"""Session needs: one clock zone, a checkpoint folder."""
 
 from __future__ import annotations
 
@@ -47,13 +47,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a scan that has too few splits (a test file of one row group).
-
-    Decided from the number of splits: a scan with a split per core is returned as it
-    is, so a large table is never shuffled. Call it on a bare scan only.
-    """
-    wanted = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted, key)

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A captured-page table: ``page_id, url, html`` and whatever else it holds."""
-    return spread(spark.read.format(fmt).options(**options).load(path), "page_id")
+    return spark.read.format(fmt).options(**options).load(path)
