@@ -9,9 +9,11 @@ sys.path.insert(0, str(Path(__file__).parent))
 import oracle  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from pageloom.plans.registry import PLANS  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = entry.oracle_sql()  # imports the modules that register queries
+QUERIES = {name: entry.queries()[name] for name in PLANS}
 
 
 @pytest.fixture(scope="module")
