@@ -18,6 +18,8 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 DIGITS = b"0123456789"
 SYMBOLS = b"*#$%&@^~=<>{}[]\\_+"
+#: Numbers that describe a text.
+WIDTH = 32
 MARKS = b".,;:?'\"()-"
 
 
@@ -27,7 +29,7 @@ def features(text: str | None) -> list[float]:
     found = raw.split()
     n = len(found)
     if not n:
-        return [0.0] * 32
+        return [0.0] * WIDTH
 
     def count(of: bytes) -> int:
         return len(raw) - len(raw.translate(None, of))
@@ -69,7 +71,7 @@ def learn_ranking(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: floa
     The threshold is the score quantile that rejects the share of zeros. With one class
     only there is no pair: every score is 0 and every probability 1/2.
     """
-    width = x.shape[1] if len(x) else 32
+    width = x.shape[1]
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0)
@@ -103,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 20_000, parts:
 
     sample = labelled_sample(docs, labels, label_col, bound, ~held_out(F.col(id_col), parts, part), id_col, text_col)
     rows = sample.select("_id", "label", described("text").alias("x")).toPandas().sort_values("_id", kind="stable")
-    x = np.array(rows.x.tolist(), float).reshape(len(rows), -1)
+    x = np.array(rows.x.tolist(), float).reshape(len(rows), WIDTH)
     return learn_ranking(x, rows.label.to_numpy())
 
 
@@ -111,7 +113,7 @@ def quality_score(model: Ranking, text: Column) -> Column:
     """Probability of preference of a whole text; null and empty texts are scored as texts without words."""
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(np.array([features(t) for t in text]).reshape(len(text), -1)))
+        return pd.Series(model.probability(np.array([features(t) for t in text]).reshape(len(text), WIDTH)))
 
     return scored(text)
 

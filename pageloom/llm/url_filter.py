@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .boosting import Trees, boost
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Numbers that describe a URL.
+WIDTH = 22
 Rule = tuple[str, str]
 RULES: tuple[Rule, ...] = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -98,7 +100,7 @@ def fit_urls(labelled: DataFrame, bound: int = 20_000, most_suffixes: int = 10_0
             blocked[s] += b
             total[s] += 1
     shares = {s: (blocked[s], float(n)) for s, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most_suffixes]}
-    x = np.array([features(url, shares, prior) for url in rows.url[1::2]], float).reshape(len(y) // 2, -1)
+    x = np.array([features(url, shares, prior) for url in rows.url[1::2]], float).reshape(len(y) // 2, WIDTH)
     return boost(x, y[1::2], trees=80, depth=4), shares, prior
 
 
@@ -115,7 +117,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = R
 
     @F.pandas_udf("double")
     def scored(url: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(np.array([features(u, shares, prior) for u in url], float).reshape(len(url), -1)))
+        return pd.Series(model.probability(np.array([features(u, shares, prior) for u in url], float).reshape(len(url), WIDTH)))
 
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), scored(url).alias("score"))
