@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the referer that goes with a media address without one.
 DEFAULT_REFERER = "http://www.google.com"
 
 
 def latest_rows(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     """The last arrival of each key. The rank limit of 1 is applied before the shuffle."""
+    if not arrival:
+        raise ValueError("an upsert needs arrival columns that say which row of a key is the last")
     order = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in arrival])
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
@@ -65,13 +69,33 @@ def merge_table(new: DataFrame, table: str, keys: Sequence[str], arrival: Sequen
 
 
 def write_snapshot(new: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str],
-                   fmt: str = "parquet") -> int:
-    """Upsert for plain files: the merged rows become ``snapshot=<n+1>``; returns its number."""
+                   fmt: str = "parquet", keep: int = 3) -> int:
+    """Upsert for plain files: the merged rows become ``snapshot=<n+1>``; returns its number.
+
+    Rows are written under a name of their own and then renamed. If another writer took
+    the number meanwhile, the merge starts again from its snapshot, so no batch is lost.
+    The newest ``keep`` snapshots stay, for readers of the one before.
+    """
     spark = new.sparkSession
-    number = latest_snapshot(spark, path)
-    existing = None if number is None else spark.read.format(fmt).load(f"{path}/snapshot={number}")
-    following = 0 if number is None else number + 1
-    upsert_rows(existing, new, keys, arrival).write.format(fmt).mode("overwrite").save(f"{path}/snapshot={following}")
+    jvm = spark._jvm
+    file_path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    files = file_path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while True:
+        number = latest_snapshot(spark, path)
+        existing = None if number is None else spark.read.format(fmt).load(f"{path}/snapshot={number}")
+        following, own = 0 if number is None else number + 1, f"_writing-{uuid.uuid4().hex}"
+        upsert_rows(existing, new, keys, arrival).write.format(fmt).save(f"{path}/{own}")
+        if latest_snapshot(spark, path) == number:
+            left = file_path(f"snapshot={following}")
+            if files.exists(left) and not files.exists(file_path(f"snapshot={following}/_SUCCESS")):
+                files.delete(left, True)  # what a writer left that was cut off
+            # A rename onto a folder that has just come to be would go into it.
+            if files.rename(file_path(own), left) and not files.exists(file_path(f"snapshot={following}/{own}")):
+                break
+            files.delete(file_path(f"snapshot={following}/{own}"), True)
+        files.delete(file_path(own), True)
+    if following - keep >= 0:
+        files.delete(file_path(f"snapshot={following - keep}"), True)
     return following
 
 

@@ -1,6 +1,7 @@
 """Keywords, collections, ranks, seen set, sinks: small fixtures against plain Python."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -185,6 +186,18 @@ def test_upsert_snapshots(spark, tmp_path):
     assert {tuple(r) for r in write.read_snapshot(spark, path).collect()} == set(state.values())
 
 
+def test_writers_at_the_same_time_lose_no_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_one = lambda i: write.write_snapshot(spark.createDataFrame([(i, "a", "b", i)], SCHEMA), path, ["id"], ["at"])
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(write_one, range(6)))
+    assert sorted(numbers) == list(range(6))
+    assert {r.id for r in write.read_snapshot(spark, path).collect()} == set(range(6))
+    assert len(list((tmp_path / "t").glob("snapshot=*"))) == 3
+    with pytest.raises(ValueError):
+        write.write_items(spark.createDataFrame(BATCHES[0], SCHEMA), path, keys=["id"])
+
+
 def test_merge_is_resolved_up_to_the_table_format(spark, tmp_path):
     """No format here merges rows, so Spark must refuse the format and nothing else."""
     df = spark.createDataFrame(BATCHES[0], SCHEMA)
