@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -74,16 +77,27 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def least_hashed(rows: DataFrame, bound: int, at: str, *ties: str) -> DataFrame:
+    """The ``bound`` rows with the least hashes in column ``at``, then by ``ties``.
+
+    A sort with a limit sends so many rows from every task to the driver. Hashes are
+    even, so beyond twice the share that is wanted no row is sorted at all.
+    """
+    total = rows.count()
+    if total > 2 * bound:
+        rows = rows.filter(F.col(at) < F.lit(int(-2**63 + 2**64 * (2 * bound / total))))
+    return rows.orderBy(at, *ties).limit(bound)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: Column,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``text`` and ``label`` of at most ``bound`` rows of ``labels`` for which ``keep`` holds, by id hash.
 
     The chosen ids are few enough to broadcast by their bound, so no text is shuffled.
     """
-    chosen = (
-        labels.filter(keep & F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id", "label").limit(bound))
+    able = labels.filter(keep & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"), F.xxhash64(id_col).alias("_at"))
+    chosen = least_hashed(able, bound, "_at", "_id", "label").drop("_at")
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
 
@@ -98,10 +112,28 @@ def small_side(df: DataFrame, numbers: int = 4_000_000) -> DataFrame:
     return F.broadcast(df) if held <= numbers else df
 
 
+def _local_stars(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of each batch, replaced by edges to the smallest node that they connect to within it."""
+    for part in parts:
+        ends = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")])
+        nodes, at = np.unique(ends, return_inverse=True)
+        one, two = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while len(one):
+            before = root.copy()
+            low = np.minimum(root[one], root[two])
+            for end in (root[one], root[two], one, two):
+                np.minimum.at(root, end, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["a", "b"])
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """``node, component_id`` (the smallest node reachable) for all nodes of ``edges`` (``a, b`` longs).
 
-    Alternating stars: every node hands its smallest neighbour first to its larger, then
+    Edges of one batch become stars first. Then alternating stars: every node hands its smallest neighbour first to its larger, then
     to its smaller neighbours, until each edge ends at its component's smallest node. A
     round has one grouped minimum (combined before its shuffle) and one join, whose hot
     partitions Spark can split.
@@ -112,7 +144,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
     def mark(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
-    now, turn = scratch.keep(pairs(edges), f"{tag}0"), 0
+    now, turn = scratch.keep(pairs(edges.select("a", "b").mapInArrow(_local_stars, "a long, b long")), f"{tag}0"), 0
     seen = mark(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Scratch, components
+from .common import Scratch, components, least_hashed
 
 BLOCK = 512
 
@@ -106,7 +106,7 @@ def near_vectors(rows: DataFrame, least: float = 0.93, near: int = 12, shared: i
 
     total = classes.count()
     wanted = min(most_pivots, max(16, math.ceil(2 * math.sqrt(total))))
-    chosen = able.select("size", "vector", F.xxhash64("vec_id").alias("at"), "vec_id").orderBy("at", "vec_id").limit(wanted).toPandas()
+    chosen = least_hashed(able.select("size", "vector", F.xxhash64("vec_id").alias("at"), "vec_id"), wanted, "at", "vec_id").toPandas()
     by_size = {int(s): unit(np.array(g.vector.tolist(), float)) for s, g in chosen.groupby("size")}
     pivots = scratch.spark.sparkContext.broadcast(by_size)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, boost
+from .common import least_hashed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Numbers that describe a URL.
@@ -88,10 +89,9 @@ def fit_urls(labelled: DataFrame, bound: int = 20_000, most_suffixes: int = 10_0
     Every second row counts suffixes, the others train the trees, so a share says nothing
     of the label it helps to predict. The ``most_suffixes`` most frequent suffixes are kept.
     """
-    rows = (
-        labelled.filter(F.col("blocked").isin(0, 1) & F.col("url").isNotNull())
-        .select("url", F.col("blocked").cast("int").alias("blocked"))
-        .orderBy(F.xxhash64(F.lit(seed), "url"), "url", "blocked").limit(bound)).toPandas()
+    able = labelled.filter(F.col("blocked").isin(0, 1) & F.col("url").isNotNull()).select(
+        "url", F.col("blocked").cast("int").alias("blocked"), F.xxhash64(F.lit(seed), "url").alias("_at"))
+    rows = least_hashed(able, bound, "_at", "url", "blocked").toPandas()
     y = rows.blocked.to_numpy(float)
     prior = float((y.sum() + 1) / (len(y) + 2))
     blocked, total = Counter(), Counter()
