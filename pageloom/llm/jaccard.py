@@ -3,14 +3,16 @@
 A document is its set of word shingles; two link when their Jaccard similarity reaches
 ``percent``. All sets are ordered alike, rare shingles first. If two sets are similar
 enough, the first ``n - ceil(t n) + l`` of each share at least ``l``; every document picks
-the ``l`` for which its prefix is cheapest by the counts of its shingles, and a pair needs
-the smaller ``l`` of the two. Of a pair's smaller set a shorter prefix will do.
+the ``l`` for which its prefix is cheapest by the counts of its shingles. A pair must share
+as many prefix shingles as its overlap needs beyond what lies behind the prefixes: the
+longer the prefixes, the more.
 
 Documents with equal sets are one class from the start. Classes that share a prefix
-shingle are first compared with one of them (a star, linear in the list's length), which
-joins groups of near copies; after that only pairs of different components that share
-enough prefix shingles are compared. So every link that could join two components is
-tried, and a large group of near copies never becomes all its pairs.
+shingle are first compared with a few of them (stars, linear in the list's length), in
+turns with others each time, which joins groups of near copies; when a turn's pairs hardly
+link any more, all pairs of different components that share enough prefix shingles are
+compared. So every link that could join two components is tried, and a large group of near
+copies does not become all its pairs.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Scratch, components, fresh, shingle_hashes, word_hashes, words
+from .common import Scratch, components, fresh, shingle_hashes, small_side, word_hashes, words
 
 MOST_MATCHES = 4
 #: Comparing two sets costs about as much as reading so many prefix entries.
 COMPARE_COST = 20.0
 CHUNK = 2_000_000
+#: Entries of a list that all others are compared with in the first turn (twice as many in each next one), and turns
+#: at most before all pairs left are.
+PIVOTS = 4
+MOST_TURNS = 6
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -57,9 +63,13 @@ def prefix_length(n: int, matches: int, percent: int) -> int:
     return min(n, n + (-percent * n) // 100 + matches)
 
 
-def index_length(n: int, matches: int, percent: int) -> int:
-    """As ``prefix_length``, for the smaller set of a pair."""
-    return min(n, n + (-2 * percent * n) // (100 + percent) + matches)
+def shared_needed(n_a: int, n_b: int, length_a: int, length_b: int, percent: int) -> int:
+    """So many of their prefixes' shingles two similar sets share.
+
+    What they share besides lies behind the prefix of the one whose prefix ends first.
+    """
+    overlap = -(-percent * (n_a + n_b) // (100 + percent))
+    return max(1, overlap - max(n_a - length_a, n_b - length_b))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -127,9 +137,10 @@ def _describe(size: int):
     return run
 
 
-#: ``meta``: set size, place in the prefix and matches asked for, in one number, as millions of rows are moved.
+#: ``meta``: set size and prefix length in one number, as millions of rows are moved.
 POSTINGS = "token long, key long, meta long"
-SIZE_OF, PLACE_OF, MATCHES_OF = "shiftright(meta, 33)", "(shiftright(meta, 3) & 1073741823)", "(meta & 7)"
+SIZE_OF, LENGTH_OF = "shiftright({}, 32)", "({} & 4294967295)"
+SIZE_FITS = "100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
 def _postings(size: int, percent: int, counts):
@@ -143,10 +154,10 @@ def _postings(size: int, percent: int, counts):
                 if not len(found) or (key := set_key(found)) in seen:
                     continue
                 seen.add(key)
-                first, matches = prefix(found, common, levels, percent)
+                first, _ = prefix(found, common, levels, percent)
                 tokens.append(first.view(np.int64))
                 keys.append(np.full(len(first), key[0]))
-                metas.append((len(found) << 33) + (np.arange(len(first), dtype=np.int64) << 3) + matches)
+                metas.append(np.full(len(first), (len(found) << 32) + len(first)))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, metas)], ["token", "key", "meta"])
     return run
@@ -173,6 +184,16 @@ def _frequent(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], found.level.to_numpy(np.int8)[order]
 
 
+def _own_text(size: int):
+    """An id that several rows have brings all their texts: keep that of the class."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            fits = [set_key(shingle_set(t, size)) == (k1, k2)
+                    for t, k1, k2 in zip(*(_column(part, c) for c in ("text", "key", "k2")), strict=True)]
+            yield part.filter(pa.array(fits, pa.bool_())).select(["class_id", "key", "text"])
+    return run
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (keys ``a, b``) whose sets are similar enough, as ids of their classes ``a, b``."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,25 +214,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
-def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of keys of different components with enough common prefix shingles, the larger set as ``a``."""
-    rows = shared.select("token", "key", "component", F.expr(SIZE_OF).cast("long").alias("n"), F.expr(PLACE_OF).alias("place"),
-                         F.expr(MATCHES_OF).alias("matches"))
-    index = F.expr(f"n - ceil({2 * percent}D * n / {100 + percent}) + matches")
-    a = rows.toDF(*(c if c == "token" else f"{c}_a" for c in rows.columns))
-    b = rows.filter(F.col("place") < index).toDF(*(c if c == "token" else f"{c}_b" for c in rows.columns))
-    most_shared = F.least("place_a", "place_b") + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") > F.col("key_b")))
-    fits = (100 * F.col("n_b") >= percent * F.col("n_a")) & (
-        (100 + percent) * most_shared >= percent * (F.col("n_a") + F.col("n_b")))
-    return (
-        a.join(b, "token").filter(larger & (F.col("component_a") != F.col("component_b")) & fits)
-        .groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("asked"))
-        .filter("shared >= asked").select("a", "b"))
-
-
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, most_frequent: int = 1 << 22,
+def _needed(a: str, b: str, percent: int) -> str:
+    """``shared_needed`` as SQL, of two ``meta`` columns."""
+    n_a, n_b = SIZE_OF.format(a), SIZE_OF.format(b)
+    behind = f"greatest({n_a} - {LENGTH_OF.format(a)}, {n_b} - {LENGTH_OF.format(b)})"
+    overlap = f"({percent} * ({n_a} + {n_b}) + {99 + percent}) div {100 + percent}"
+    return f"greatest(1, {overlap} - {behind})"
+
+
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (keys ``a, b``) whose prefixes share enough shingles."""
+    one = prefixes.toDF("a", "meta_a", "tokens_a")
+    two = prefixes.toDF("b", "meta_b", "tokens_b")
+    return pairs.join(one, "a").join(two, "b").filter(
+        F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.expr(_needed("meta_a", "meta_b", percent))).select("a", "b")
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """Whether a shingle at the ``rank`` it has in two prefixes can be the first that two similar sets share.
+
+    Prefixes are ordered alike, by how many prefixes have a shingle. After the first shared
+    shingle come all others that the two need.
+    """
+    needed = _needed(f"{a}.meta", f"{b}.meta", percent)
+    return f"""{SIZE_FITS.format(a=SIZE_OF.format(f"{a}.meta"), b=SIZE_OF.format(f"{b}.meta"), percent=percent)}
+        AND {a}.rank + {needed} <= {LENGTH_OF.format(f"{a}.meta")} AND {b}.rank + {needed} <= {LENGTH_OF.format(f"{b}.meta")}"""
+
+
+def _stars(ranked: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of keys of different components: of each shingle's list all entries with a few, others each turn."""
+    few = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn))))
+    pivots = ranked.withColumn("no", few).filter(f"no <= {PIVOTS << turn}").drop("no")
+    return _pairs(ranked, pivots, "a.key <> b.key", percent)
+
+
+def _pairs(one: DataFrame, two: DataFrame, test: str, percent: int) -> DataFrame:
+    a, b = one.alias("a"), two.alias("b")
+    return a.join(b, F.expr(f"a.token = b.token AND {test} AND a.component <> b.component AND {_may_link('a', 'b', percent)}")).select(
+        F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, most_frequent: int = 1 << 20,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -232,39 +275,53 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, most_f
     counts = scratch.spark.sparkContext.broadcast(_frequent(described, most_frequent))
     found = texts.filter("doc_id is not null").mapInArrow(_postings(size, percent, counts), POSTINGS)
     same = Window.partitionBy("token")
-    shared = scratch.keep(
-        found.withColumn("pivot", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-        .filter("pivot < last").drop("last").distinct(), "shared")
-    keys = shared.select("key").distinct()
-    wanted = classes.join(keys, classes.k1 == keys.key).select("class_id", "key", "k2")
-
-    def own_text(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An id that several rows have brings all their texts: keep that of the class."""
-        for part in parts:
-            fits = [set_key(shingle_set(t, size)) == (k1, k2)
-                    for t, k1, k2 in zip(*(_column(part, c) for c in ("text", "key", "k2")), strict=True)]
-            yield part.filter(pa.array(fits, pa.bool_())).select(["class_id", "key", "text"])
-
-    texts_of = scratch.keep(
-        texts.join(wanted, texts.doc_id == wanted.class_id).select("class_id", "key", "k2", "text")
-        .mapInArrow(own_text, "class_id long, key long, text string").dropDuplicates(["class_id", "key"]), "texts")
-
-    stars = scratch.keep(
-        shared.filter("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    first = scratch.keep(_verified(stars, texts_of, size, percent), "first")
-    joined = components(first, scratch, "near")
-    of_key = texts_of.select("key", "class_id").join(joined, F.col("class_id") == F.col("node"), "left").select(
-        "key", F.coalesce("component_id", "class_id").alias("component"))
-    open_ = shared.drop("pivot").join(of_key, "key").withColumn("low", F.min("component").over(same)).withColumn(
-        "high", F.max("component").over(same)).filter("low < high").drop("low", "high")
-    rest = _candidates(scratch.keep(open_, "open"), percent).join(stars, ["a", "b"], "left_anti").join(
-        stars.toDF("b", "a"), ["a", "b"], "left_anti")
-    second = scratch.keep(_verified(scratch.keep(rest, "rest"), texts_of, size, percent), "second")
+    shared = (
+        found.withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
+        .withColumn("lists", F.count("*").over(same)).filter("first < last").select("token", "key", "meta", "lists").distinct())
+    prefixes = scratch.keep(
+        shared.groupBy("key").agg(F.min("meta").alias("meta"), F.array_sort(F.collect_list(F.struct("lists", "token"))).alias("t"))
+        .select("key", "meta", F.col("t.token").alias("tokens")), "prefixes")
+    # Shingles that no other prefix has come before the shared ones.
+    ranked = prefixes.select(
+        "key", "meta", F.expr(f"{LENGTH_OF.format('meta')} - size(tokens)").alias("alone"), F.posexplode("tokens").alias("place", "token"))
+    ranked = ranked.select("token", "key", "meta", (F.col("alone") + F.col("place")).alias("rank"))
+
+    def compared(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """The pairs that were compared, and those of them that link."""
+        pairs = scratch.keep(_promising(pairs, prefixes, percent), f"{name}_pairs")
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        wanted = scratch.keep(classes.join(keys, classes.k1 == keys.key).select("class_id", "key", "k2"), f"{name}_keys")
+        own = scratch.keep(
+            texts.join(small_side(wanted), texts.doc_id == wanted.class_id).select("class_id", "key", "k2", "text")
+            .mapInArrow(_own_text(size), "class_id long, key long, text string").dropDuplicates(["class_id", "key"]), f"{name}_texts")
+        links = scratch.keep(_verified(pairs, own, size, percent), f"{name}_links")
+        scratch.drop(f"{name}_texts")
+        return pairs, links
+
+    open_ = ranked.withColumn("component", F.col("key")).repartition("token")
+    tried, links = None, None
+    for turn in range(MOST_TURNS):
+        pairs = _stars(open_, turn, percent)
+        pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs
+        pairs, found = compared(pairs, f"star{turn}")
+        tried, links = (tried.union(pairs), links.union(found)) if tried else (pairs, found)
+        joined = components(links, scratch, f"near{turn}_")
+        of_key = classes.select(F.col("k1").alias("key"), "class_id").join(prefixes.select("key"), "key").join(
+            joined, F.col("class_id") == F.col("node"), "left").groupBy("key").agg(
+            F.min(F.coalesce("component_id", "class_id")).alias("component"))
+        rows = open_.drop("component") if turn else ranked
+        open_ = scratch.keep(
+            rows.join(of_key, "key").withColumn("low", F.min("component").over(same)).withColumn(
+                "high", F.max("component").over(same)).filter("low < high").drop("low", "high"), f"open{turn}")
+        if 10 * found.count() <= pairs.count():
+            break
+    rest = _pairs(open_, open_, "a.key < b.key", percent).join(tried, ["a", "b"], "left_anti")
+    links = links.union(compared(rest, "rest")[1])
 
     copies = sets.filter("n > 0 and doc_id is not null").join(classes, ["k1", "k2"]).filter("doc_id != class_id").select(
         F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    groups = components(first.union(second).union(copies), scratch, "all")
-    scratch.drop("texts", "shared", "open")
+    groups = components(links.union(copies), scratch, "all")
+    scratch.drop("prefixes", *(f"open{turn}" for turn in range(MOST_TURNS)))
     return sets.join(groups, sets.doc_id == groups.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -278,6 +335,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
     found = jaccard_components(docs, id_col=id_col, **options)
     name = fresh(docs, "_component")
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = small_side(Scratch(docs.sparkSession, "copies").keep(gone, "gone"))
     kept = docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates() if repeated else kept
