@@ -71,3 +71,31 @@ def test_awkward_rows(spark):
         (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (12, [1.0, 0.0], 1), (13, [1e30, 1.0], 1), (14, [0.0, 1.0], 1)]
     assert found(spark, rows) == plain(rows)
     assert found(spark, []) == []
+
+
+def crowd(n, cosine, seed=5, width=64):
+    """Vectors of one label, a third of them near each other with this mean cosine."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = rng.permutation(n)[:n // 3]
+    x[group] = np.sqrt(cosine) * x[group[0]] + np.sqrt(1 - cosine) * x[group]
+    return x.astype(np.float32)
+
+
+def test_a_third_of_near_vectors_has_all_its_links(spark):
+    for n, cosine in ((2000, 0.96), (6000, 0.95)):
+        x = crowd(n, cosine)
+        u = x.astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        want = sum(int((u[i:i + 500] @ u.T >= 0.93).sum()) for i in range(0, n, 500)) - n
+        got = embed_dedup.near_vectors(table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).agg({"n_links": "sum"}).first()[0]
+        assert got == want
+
+
+def test_the_exact_way_alone(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "links_in_blocks", None)  # all vectors are in cells
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.3).astype(np.float32).tolist(), i % 2) for i in range(150)]
+    assert found(spark, rows) == plain(rows)
