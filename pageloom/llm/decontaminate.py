@@ -1,12 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
+"""Benchmark decontamination: item-sized windows, SimHash search and prefixes of shingles, exact verification.
 
 A window has as many words as the item it is compared with. Its fingerprint is the SimHash
 of its words. Fingerprints are cut into one block more than the radius has bits, so two
 within the radius agree in a block: an equi-join on length, block number and block value
-finds them all. What is found is verified by the weighted similarity of the five-word
-shingles (minima over maxima of their counts).
+finds them all. Similar windows whose fingerprints lie further apart are found by prefixes:
+of two lists of shingles that share enough, ordered by hash, the least shared one is among
+the first of both, so an equi-join on length and those shingles misses none. What is found
+is verified by the weighted similarity of the five-word shingles (minima over maxima of
+their counts).
 
-Fingerprints are made only where they can matter: a window can reach the similarity only
+Both are made only where they can matter: a window can reach the similarity only
 if six sevenths of its shingles are shingles of items of its length, which a Bloom filter
 of bounded size answers without ever saying no wrongly.
 """
@@ -92,6 +95,11 @@ def windows(hashes: np.ndarray, table: np.ndarray, lengths: list[int], percent:
                 yield length, starts, runs
 
 
+def prefix(shingles: np.ndarray, shared: int) -> list[int]:
+    """The different ones of the least shingles of which one must be shared if ``shared`` are."""
+    return np.unique(np.sort(shingles)[:max(1, len(shingles) - shared + 1)]).view(np.int64).tolist()
+
+
 def _items(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         rows = []
@@ -166,7 +174,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75,
                 ["doc_id", "length", "first_word", "n_words", "mark", "shingles"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    found = texts.mapInArrow(run, "doc_id long, length int, first_word int, n_words int, mark long, shingles array<long>")
+    found = scratch.keep(
+        texts.mapInArrow(run, "doc_id long, length int, first_word int, n_words int, mark long, shingles array<long>"), "windows")
 
     def indexed(df: DataFrame, prefix: str) -> DataFrame:
         fields = F.array(*(F.struct(F.lit(i).alias("no"), b.cast("long").alias("value")) for i, b in enumerate(_blocks(F.col("mark"), radius))))
@@ -176,7 +185,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 75,
         "differ", F.col("w_mark").bitwiseXOR(F.col("i_mark"))).filter(F.bit_count("differ") <= radius)
     # A pair agrees in several blocks: it counts at the first.
     first = F.array_position(F.array(*(b.cast("long") for b in _blocks(F.col("differ"), radius))), F.lit(0).cast("long")) - 1
-    near = near.filter(first == F.col("no")).select("w_doc_id", "w_first_word", "w_n_words", "w_shingles", "i_item_id", "i_shingles")
+    pair = ["w_doc_id", "w_first_word", "w_n_words", "w_shingles", "i_item_id", "i_shingles"]
+    near = near.filter(first == F.col("no")).select(*pair)
+
+    def led(df: DataFrame, side: str) -> DataFrame:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                firsts = []
+                for length, found in zip(part.column("length").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+                    wanted = length - min(SHINGLE, length) + 1
+                    # An item must do for windows of any size, the least similar of which has no other shingles than shared ones.
+                    shared = -(-percent * (wanted + len(found)) // (100 + percent)) if side == "w_" else -(-percent * wanted // 100)
+                    firsts.append(prefix(np.array(found, np.int64).view(np.uint64), shared))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(firsts, pa.list_(pa.int64()))], [*part.schema.names, "firsts"])
+
+        kinds = ", ".join(f"{c} {kind}" for c, kind in [*df.dtypes, ("firsts", "array<bigint>")])
+        return df.mapInArrow(run, kinds).select(
+            *(F.col(c).alias(c if c == "length" else f"{side}{c}") for c in df.columns), F.explode("firsts").alias("lead"))
+
+    far = led(found, "w_").join(led(items, "i_"), ["length", "lead"]).filter(
+        F.bit_count(F.col("w_mark").bitwiseXOR(F.col("i_mark"))) > radius)
+    near = near.union(far.select(*pair))
 
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

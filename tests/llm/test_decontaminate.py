@@ -109,3 +109,20 @@ def test_fingerprint_is_the_majority_of_bits():
     for start, m in zip((0, 1), mark.tolist()):
         want = sum(1 << k for k in range(64) if sum(int(x) >> k & 1 for x in h[start:start + 3]) >= 2)
         assert m == want
+
+
+def test_edited_edges_and_cut_items_are_found_as_by_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(prose(rng, n))) for i, n in enumerate((12, 15, 20, 25, 30, 40, 50, 60, 80, 120) * 3)]
+    rows, d = [], 0
+    for _, text in items:
+        w = text.split()
+        cut = len(w) // 5 if len(w) > 20 else 2
+        least = [w[:-cut], w[cut:], w[:-1], [f"x{k}" for k in range(cut)] + w[cut:], w[:-cut] + [f"y{k}" for k in range(cut)]]
+        few = max(1, len(w) // 12)
+        for own in [*least, ["p"] * few + w[few:], w[:-few] + ["q"] * few, w[:len(w) // 2] + ["z"] + w[len(w) // 2 + 1:]]:
+            around = prose(rng, 30) if d % 2 else []
+            rows.append((d, " ".join([*around, *own, *around]), "s"))
+            d += 1
+    found = dc.find_contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == plain(rows, items)
