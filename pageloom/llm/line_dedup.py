@@ -3,8 +3,10 @@
 Only lines in a run of repeated lines with ``min_words`` words or more can be part of a
 common block. Pairs of documents come from such lines: a rare line pairs all documents
 that have it, any line pairs its later documents with its earliest (so a line that a third
-of the corpus has costs one pair per document). Pairs are aligned by patience diff: lines
-that both documents have once, in the longest order they share, then the gaps between.
+of the corpus has costs one pair per document). The shortest runs of lines that reach
+``min_words`` pair likewise, so a block finds its earliest owner also where each of its
+lines has an earlier one. Pairs are aligned by patience diff: lines that both documents
+have once, in the longest order they share, then the gaps between.
 """
 
 from __future__ import annotations
@@ -42,6 +44,37 @@ def repeated_runs(repeated: list[bool], sizes: list[int], min_words: int) -> lis
     return out
 
 
+def shortest_runs(able: list[int], hashes: list[int], sizes: list[int], min_words: int) -> list[int]:
+    """Hashes of the shortest runs of lines that reach ``min_words``, from every line on and up to every line.
+
+    Each common block of so many words is covered by such runs. Blank lines neither begin nor end one.
+    """
+    def ends(places: list[int], step: int) -> list[tuple[int, int]]:
+        out, total, at = [], 0, 0
+        for i in places:
+            while at < len(places) and total < min_words:
+                total += sizes[places[at]]
+                at += 1
+            if total < min_words:
+                break
+            if sizes[i]:
+                out.append((i, places[at - 1])[::step])
+            total -= sizes[i]
+        return out
+
+    found, parts = set(), []
+    for i in able:
+        if parts and parts[-1][-1] == i - 1:
+            parts[-1].append(i)
+        else:
+            parts.append([i])
+    for part in parts:
+        for lo, hi in {*ends(part, 1), *ends(part[::-1], -1)}:
+            h = xxh3_64_intdigest(b"".join(x.to_bytes(8, "little", signed=True) for x in hashes[lo:hi + 1]))
+            found.add(h - (1 << 64) if h >= 1 << 63 else h)
+    return sorted(found)
+
+
 def _anchors(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> list[tuple[int, int]]:
     """Lines that each side has once, in the longest order that both share."""
     count_a, count_b = Counter(a[lo_a:hi_a]), Counter(b[lo_b:hi_b])
@@ -127,7 +160,8 @@ def _sequences(min_words: int):
                 if able:
                     asked = {lines[i]["line"]: lines[i] for i in able if lines[i]["owner"] is not None}
                     rows.append((doc_id, mark, [x["line"] for x in lines], [x["n"] for x in lines],
-                                 [{"line": x["line"], "owner": x["owner"], "docs": x["docs"]} for x in asked.values()]))
+                                 [{"line": x["line"], "owner": x["owner"], "docs": x["docs"]} for x in asked.values()],
+                                 shortest_runs(able, [x["line"] for x in lines], [x["n"] for x in lines], min_words)))
             yield pa.RecordBatch.from_pylist(
                 [dict(zip(SEQUENCE.names, r, strict=True)) for r in rows], schema=SEQUENCE)
     return run
@@ -135,7 +169,8 @@ def _sequences(min_words: int):
 
 SEQUENCE = pa.schema([
     ("doc_id", pa.int64()), ("mark", pa.int64()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-    ("able", pa.list_(pa.struct([("line", pa.int64()), ("owner", pa.int64()), ("docs", pa.int64())])))])
+    ("able", pa.list_(pa.struct([("line", pa.int64()), ("owner", pa.int64()), ("docs", pa.int64())]))),
+    ("runs", pa.list_(pa.int64()))])
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 30, rare: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,12 +192,15 @@ def repeated_lines(docs: DataFrame, min_words: int = 30, rare: int = 16, id_col:
         lines.join(owners, "line", "left")
         .groupBy("doc_id").agg(F.collect_list(F.struct("mark", "place", "line", "n", "owner", "docs")).alias("lines"))
         .mapInArrow(_sequences(min_words), "doc_id long, mark long, lines array<long>, sizes array<int>, "
-                    "able array<struct<line:long,owner:long,docs:long>>"), "sequences")
+                    "able array<struct<line:long,owner:long,docs:long>>, runs array<long>"), "sequences")
     able = sequences.select("doc_id", F.inline("able"))
     few = able.filter(F.col("docs") <= rare).select("line", "doc_id")
+    runs = sequences.select("doc_id", F.explode("runs").alias("run"))
+    earliest = runs.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a < last").drop("last")
     pairs = (
         able.filter("owner < doc_id").select(F.col("owner").alias("a"), F.col("doc_id").alias("b"))
-        .union(few.toDF("line", "a").join(few.toDF("line", "b"), "line").filter("a < b").select("a", "b")).distinct())
+        .union(few.toDF("line", "a").join(few.toDF("line", "b"), "line").filter("a < b").select("a", "b"))
+        .union(runs.join(earliest, "run").filter("a < doc_id").select("a", F.col("doc_id").alias("b"))).distinct())
 
     def aligned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -63,3 +63,18 @@ def test_alignment_matches_equal_lines_in_order(a, b):
 def test_runs_cross_blank_lines():
     assert line_dedup.repeated_runs([True, False, True, False], [5, 0, 6, 9], 11) == [0, 1, 2]
     assert line_dedup.repeated_runs([True, False, True, False], [5, 1, 6, 9], 11) == []
+
+
+def test_block_whose_lines_have_earlier_owners(spark):
+    rng = random.Random(4)
+    one, two = (" ".join(prose(rng, 20)) for _ in range(2))
+    rows = [(1, one, "s"), (2, two, "s")] + [(i, f"own {i}\n{one}\n{two}\nend {i}", "s") for i in range(5, 101)]
+    out = dict(texts(line_dedup.drop_repeated_lines(documents(spark, rows))))
+    assert [i for i, t in out.items() if f"{one}\n{two}" in t] == ["5"]
+
+
+def test_runs_cover_a_block():
+    hashes, sizes = [1, 2, 3, 4], [20, 0, 15, 5]
+    runs = line_dedup.shortest_runs([0, 1, 2, 3], hashes, sizes, 30)
+    assert len(runs) == 2  # from the first line to the third, and from the first to the last
+    assert set(line_dedup.shortest_runs([1, 2, 3, 4], [9, *hashes], [7, *sizes], 30)) == set(runs)
