@@ -6,7 +6,8 @@ that have it, any line pairs its later documents with its earliest (so a line th
 of the corpus has costs one pair per document). The shortest runs of lines that reach
 ``min_words`` pair likewise, so a block finds its earliest owner also where each of its
 lines has an earlier one. Pairs are aligned by patience diff: lines that both documents
-have once, in the longest order they share, then the gaps between.
+have once, in the longest order they share, then the gaps between; a gap without such
+lines by its longest common subsequence.
 """
 
 from __future__ import annotations
@@ -75,6 +76,31 @@ def shortest_runs(able: list[int], hashes: list[int], sizes: list[int], min_word
     return sorted(found)
 
 
+def _subsequence(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence, a row of its table being the bits of one number."""
+    both = set(a[lo_a:hi_a]) & set(b[lo_b:hi_b])
+    rows, columns = ([i for i in range(lo, hi) if x[i] in both] for x, lo, hi in ((a, lo_a, hi_a), (b, lo_b, hi_b)))
+    at: dict[int, int] = {}
+    for k, j in enumerate(columns):
+        at[b[j]] = at.get(b[j], 0) | 1 << k
+    full = (1 << len(columns)) - 1
+    now, table = full, []
+    for i in rows:
+        match = now & at[a[i]]
+        now = ((now + match) | (now - match)) & full
+        table.append(now)
+    out, i, j = [], len(rows), len(columns)
+    while i and j:
+        if table[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or table[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((rows[i], columns[j]))
+    return out
+
+
 def _anchors(a: list[int], b: list[int], lo_a: int, hi_a: int, lo_b: int, hi_b: int) -> list[tuple[int, int]]:
     """Lines that each side has once, in the longest order that both share."""
     count_a, count_b = Counter(a[lo_a:hi_a]), Counter(b[lo_b:hi_b])
@@ -111,6 +137,8 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             lo_a, lo_b = i + 1, j + 1
         if found:
             todo.append((lo_a, hi_a, lo_b, hi_b))
+        elif lo_a < hi_a and lo_b < hi_b:
+            out += _subsequence(a, b, lo_a, hi_a, lo_b, hi_b)
     return sorted(out)
 
 

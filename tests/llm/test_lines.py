@@ -78,3 +78,22 @@ def test_runs_cover_a_block():
     runs = line_dedup.shortest_runs([0, 1, 2, 3], hashes, sizes, 30)
     assert len(runs) == 2  # from the first line to the third, and from the first to the last
     assert set(line_dedup.shortest_runs([1, 2, 3, 4], [9, *hashes], [7, *sizes], 30)) == set(runs)
+
+
+def test_passage_twice_without_a_unique_line():
+    a, b = [1, 9, 2], [3, 9, 4, 9, 5]
+    assert [a[i] for i, _ in line_dedup.align(a, b)] == [9]
+    assert len(line_dedup.common_lines(a, b, [60] * 5, 30)) == 1
+    assert len(line_dedup.common_lines(b, a, [60] * 3, 30)) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
+def test_subsequence_is_a_longest_one(a, b):
+    found = sorted(line_dedup._subsequence(a, b, 0, len(a), 0, len(b)))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
