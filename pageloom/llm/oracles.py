@@ -65,3 +65,34 @@ SECRETS = f"""
            sha256({_listed(f"no < {len(BASE)}")}) AS base_sha256, {_listed("no IS NOT NULL")} AS spans,
            count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
     FROM texts LEFT JOIN kept ON texts.doc_id = kept.doc_id GROUP BY texts.doc_id"""
+
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+DIVERGENCE = f"""
+    WITH docs AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}') AS w FROM documents),
+    each AS (SELECT lang, source, unnest(w) AS term FROM docs),
+    often AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 30),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM each JOIN often USING (lang, term) GROUP BY ALL),
+    sources AS (SELECT DISTINCT lang, source FROM docs),
+    size AS (SELECT lang, count(*) AS v FROM often GROUP BY lang),
+    totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+    cells AS (
+        SELECT lang, source, term, coalesce(n, 0) AS n,
+               1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * v)::HUGEINT AS p
+        FROM sources JOIN often USING (lang) JOIN size USING (lang) LEFT JOIN counts USING (lang, source, term) LEFT JOIN totals USING (lang, source)),
+    whole AS (
+        SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+        FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) JOIN size USING (lang)),
+    pairs AS (
+        SELECT x.lang, x.source, y.source AS item, coalesce(f, 0)::BIGINT AS value
+        FROM sources x JOIN sources y ON x.lang = y.lang AND x.source <> y.source
+        LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM cells a JOIN cells b USING (lang, term) GROUP BY ALL) s
+        ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+    terms AS (
+        SELECT lang, source, term AS item, (p - q)::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank
+        FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+    SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+    UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM terms WHERE rank <= 50"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, embed_dedup, jaccard, line_dedup, mixing, oracles, personal, quality, secrets, toxicity, url_filter
+from . import decontaminate, divergence, embed_dedup, jaccard, line_dedup, mixing, oracles, personal, quality, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,8 @@ def op5_link_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(prepare(spark), sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.labelled_urls(pages, _read(spark, sf_dir, "labels")))
+
+
+@query(oracles.DIVERGENCE)
+def op12_audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_read(spark, sf_dir, "documents"))
