@@ -27,8 +27,9 @@ class Scratch:
         self.spark = prepare(spark)
         self.folder = scratch_folder(spark, name)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+    def keep(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """The table as read from its files; with ``folders``, rows lie in a folder for each value of these columns."""
+        df.write.mode("overwrite").partitionBy(*folders).parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:

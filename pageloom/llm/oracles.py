@@ -96,3 +96,33 @@ DIVERGENCE = f"""
         FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
     SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
     UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM terms WHERE rank <= 50"""
+
+#: CRC-32 of a number's decimal digits, bit by bit; 3988292384 is the reversed polynomial.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: list_reduce([xor(c, x), 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT],
+                             lambda b, y: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)))"""
+
+PREFIXES = f"""
+    WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    named AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS name, length(text)::BIGINT AS size FROM given),
+    own AS (SELECT conv_id, name, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) AS pos FROM named),
+    convs AS (SELECT conv_id, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+    built AS (
+        SELECT convs.conv_id, 0 AS part, pos, name, size FROM convs JOIN own ON own.conv_id = convs.conv_id - convs.conv_id % 100 WHERE pos <= h
+        UNION ALL SELECT conv_id, 1, pos, name, size FROM convs JOIN own USING (conv_id) WHERE pos > h),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM built),
+    lengths AS (SELECT conv_id, coalesce(max(depth), 0) AS n FROM convs LEFT JOIN placed USING (conv_id) GROUP BY conv_id),
+    through AS (
+        SELECT conv_id, depth, size, string_agg(name, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM placed
+        UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+               coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends
+        FROM through JOIN lengths USING (conv_id) GROUP BY path, depth),
+    children AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+    sums AS (
+        SELECT x.path, count(*) FILTER (WHERE y.n_children = 0) AS n_leaves, sum(y.saved)::BIGINT AS saved_tokens
+        FROM full_nodes x JOIN full_nodes y ON starts_with(y.path, x.path) GROUP BY x.path)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM full_nodes n JOIN sums USING (path) LEFT JOIN full_nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, divergence, embed_dedup, jaccard, line_dedup, mixing, oracles, packing, personal, quality, secrets, toxicity, url_filter
+from . import decontaminate, divergence, embed_dedup, jaccard, line_dedup, mixing, oracles, packing, personal, prefix_trie, quality, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,8 @@ def op13_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_read(spark, sf_dir, "documents"))
     length = F.expr("length(ids) div 4").alias("length")
     return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query(oracles.PREFIXES)
+def op11_trace_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
