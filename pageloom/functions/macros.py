@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .base import strip
@@ -38,6 +38,35 @@ def clock(now: Column, tz: str = "+00:00") -> dict[str, Column]:
     }
 
 
+def fixed_columns(now: Column, tz: str = "+00:00", site: str = "", conf: str = "") -> dict[str, Column]:
+    """Names that are the same for all pages of a job."""
+    return clock(now, tz) | {"SITE": F.lit(site), "CONF": F.lit(conf)}
+
+
+def fixed_values(spark: SparkSession, names: Mapping[str, Column], templates: Iterable) -> dict[str, str]:
+    """The values of those ``names`` that ``templates`` use, read once, when the job is planned."""
+    named = {m[2] or m[3] for t in templates if isinstance(t, str) for m in _TEMPLATE.finditer(t)}
+    used = sorted(named & names.keys())
+    return spark.range(1).select(*[names[n].cast("string").alias(n) for n in used]).first().asDict() if used else {}
+
+
+def fill(template, values: Mapping[str, str], last: bool = False):
+    """``template`` with the names in ``values`` replaced. ``last`` says that nobody else will fill the rest.
+
+    Then ``$$`` becomes ``$``, ``$NAME`` stays as written, as in regular expressions a ``$`` may stand
+    before letters, and an unknown ``${NAME}`` raises ``ValueError``.
+    """
+    def replace(m: re.Match) -> str:
+        name = m[2] or m[3]
+        if name in values:
+            return values[name]
+        if last and m[3]:
+            raise ValueError(f"unknown name {m[0]} in {template!r}")
+        return "$" if last and m[1] else m[0]
+
+    return _TEMPLATE.sub(replace, template) if isinstance(template, str) else template
+
+
 @dataclass(frozen=True)
 class Macros:
     """What a template may name.
@@ -61,6 +90,18 @@ class Macros:
             return F.coalesce(F.try_element_at(self.page_vars, F.lit(name)), F.lit(written))
         return F.lit(written)
 
+    def knows(self, name: str) -> bool:
+        return name in self.built_in or bool(_COLUMN.match(name) and self.keyword is not None) \
+            or self.page_vars is not None and name.isupper()
+
+    def bind(self, value: str) -> str | Column:
+        """A value in a selector: plain text, or a Column where it names something of the page. An unknown ``${NAME}`` raises."""
+        found = list(_TEMPLATE.finditer(value))
+        for m in found:
+            if m[3] and not self.knows(m[3]):
+                raise ValueError(f"unknown name {m[0]} in {value!r}")
+        return self.expand(value) if any(m[1] or self.knows(m[2] or m[3]) for m in found) else value
+
     def expand(self, template) -> Column:
         """A template as a Column; anything that is not text is a plain literal."""
         if isinstance(template, Column):
@@ -80,7 +121,7 @@ class Macros:
 
 def job_macros(now: Column, tz: str = "+00:00", url: Column | None = None, keyword: Column | None = None,
                sep: str | None = None, site: str = "", conf: str = "", page_vars: Column | None = None) -> Macros:
-    names = clock(now, tz) | {"SITE": F.lit(site), "CONF": F.lit(conf)}
+    names = fixed_columns(now, tz, site, conf)
     if url is not None:
         names["URL"] = url
     if keyword is not None:

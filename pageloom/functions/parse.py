@@ -71,7 +71,59 @@ class Whole:
     fn: Callable[[Values], Values]
 
 
-Step = Each | Spread | Whole
+@dataclass(frozen=True)
+class Markup:
+    """Step over whole lists that reads markup: from a list of lists to one. Its reader runs in Python, so it is never inside a lambda."""
+
+    fn: Callable[[Column], Column]
+
+
+@dataclass(frozen=True)
+class Branches:
+    """The results of several chains of steps, for each value in turn, where one of them reads markup."""
+
+    chains: tuple[Sequence[Step], ...]
+    dtype: str
+
+
+Step = Each | Spread | Whole | Markup | Branches
+
+
+def run_groups(steps: Sequence[Step], groups: Column, dtype: str) -> tuple[Column, str]:
+    """The steps on each list of a list of lists, and the type of the values.
+
+    Steps in the JVM are applied in a lambda; markup steps get all lists at once.
+    """
+    native: list[Step] = []
+
+    def applied(done: list[Step]) -> tuple[Column, str]:
+        kind = run(done, Values(F.lit(None).cast(f"array<{dtype}>"), dtype, True)).dtype
+        return F.transform(groups, lambda g: run(done, Values(g, dtype, True)).array()), kind
+
+    def regrouped(values: Column, found: Column) -> Column:
+        """Each value is a list of its own; what comes of it goes back to its list by the number of values before."""
+        return let(F.struct(values.alias("v"), found.alias("f")), lambda both: F.transform(both["v"], lambda g, i: F.flatten(
+            F.slice(both["f"], F.size(F.flatten(F.slice(both["v"], F.lit(1), i))) + 1, F.size(g)))))
+
+    for step in (*steps, None):
+        if isinstance(step, (Each, Spread, Whole)):
+            native.append(step)
+            continue
+        if native:
+            groups, dtype = applied(native)
+            native = []
+        if isinstance(step, Markup):
+            groups, dtype = step.fn(groups.cast("array<array<string>>")), "string"
+        elif isinstance(step, Branches):
+            groups, dtype = regrouped(groups, _branch_values(step, F.flatten(groups), dtype)), step.dtype
+    return groups, dtype
+
+
+def _branch_values(step: Branches, values: Column, dtype: str) -> Column:
+    """For each value the results of all chains, one after the other."""
+    alone = F.transform(values, lambda x: F.array(x))
+    found = [run_groups(chain, alone, dtype)[0] for chain in step.chains]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), found)
 
 
 def run(steps: Sequence[Step], values: Values) -> Values:
@@ -86,6 +138,9 @@ def run(steps: Sequence[Step], values: Values) -> Values:
             values = _spread(values, step)
         elif isinstance(step, Whole):
             values = step.fn(values)
+        elif isinstance(step, (Markup, Branches)):
+            groups, dtype = run_groups([step], F.array(values.array()), values.dtype)
+            values = Values(F.get(groups, F.lit(0)), dtype, True)
     return _map_each(values, pending)
 
 
@@ -238,6 +293,10 @@ def _tee(spec: Mapping, now: Column) -> Step:
     probe = [run(b, Values(F.lit("x"))).dtype for b in branches]
     if len(set(probe)) > 1:
         raise ValueError(f"tee branches give different types: {probe}")
+    if reads_markup(spec["tee"]):
+        if max(map(_markup_steps, branches)) > 1:
+            raise ValueError("a tee branch reads markup once at most; put the first selection before the tee")
+        return Branches(tuple(branches), probe[0])
     return Spread(lambda x: F.concat(*[run(b, Values(x)).array() for b in branches]), probe[0])
 
 
@@ -250,7 +309,7 @@ def _fragment(kind: str) -> Callable:
     def build(spec: Mapping, now: Column) -> Step:
         from ..operators import dom  # the only parsers that read markup
         fn = dom.select_in_fragments if kind == "xpath" else dom.purge_fragments
-        return Whole(lambda v: Values(fn(v.array(), spec["query"]), "string", True))
+        return Markup(lambda groups: fn(groups, spec["query"]))
     return build
 
 
@@ -310,6 +369,20 @@ def compile_parser(spec, now: Column | None = None) -> list[Step]:
     return built if isinstance(built, list) else [built]
 
 
+def markup_stages(steps: Sequence[Step]) -> list[list[Step]]:
+    """The steps, cut behind each that reads markup: Spark takes one such reader per value and projection."""
+    stages: list[list[Step]] = [[]]
+    for step in steps:
+        stages[-1].append(step)
+        if isinstance(step, (Markup, Branches)):
+            stages.append([])
+    return stages
+
+
+def _markup_steps(steps: Sequence[Step]) -> int:
+    return sum(max(map(_markup_steps, s.chains)) if isinstance(s, Branches) else isinstance(s, Markup) for s in steps)
+
+
 def reads_markup(spec) -> bool:
     """The spec holds a step that selects inside fragments."""
     if isinstance(spec, (list, tuple)):
@@ -320,8 +393,10 @@ def reads_markup(spec) -> bool:
 
 
 def parser(spec, now: Column | None = None) -> Callable[[Values], Values]:
-    """Compile once, apply to any number of fields."""
+    """Compile once, apply to any number of fields. Item extraction takes more than one markup step, a single expression does not."""
     steps = compile_parser(spec, now)
+    if _markup_steps(steps) > 1:
+        raise ValueError("one expression reads markup once at most; select again in a further column")
     return lambda values: run(steps, values)
 
 

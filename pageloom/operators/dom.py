@@ -17,84 +17,91 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.base import empty_strings, let
+from ..functions.base import let
 from . import page_reader
-from .selectors import Selector, Wanted, parse_selector, relative, select_nodes, select_values
+from .selectors import Selector, Wanted, node_at, offsets, parse_selector, relative, select_nodes, select_values, span
 
 NODES = ("array<struct<pre:int,last:int,parent:int,tag:string,nth:int,nth_last:int,pos:int,pos_last:int,"
-         "attrs:map<string,string>,text:string,start:int,stop:int>>")
+         "attrs:map<string,string>,text:string,start:int,stop:int,end:int>>")
 
 cloudpickle.register_pickle_by_value(page_reader)
 
 
-def page_nodes(source: Column, wanted: Wanted) -> Column:
-    """``nodes`` of a page; null for a null or unreadable page."""
+def read_page(source: Column, wanted: Wanted) -> Column:
+    """``struct<nodes,error>`` of a page: no nodes for a null page, an error and no nodes for one that cannot be read."""
     names = (wanted.tags, wanted.attrs, wanted.text_of, wanted.places)
 
-    @F.arrow_udf(NODES)
+    @F.arrow_udf(f"struct<nodes:{NODES},error:string>")
     def nodes_of(pages: pa.Array) -> pa.Array:
-        out = []
-        for page in pages.cast(pa.binary()):
-            raw = page.as_py()
-            out.append(None if raw is None else page_reader.read_nodes(raw, *names))
-        return page_reader.to_arrow(out)
+        nodes, errors = page_reader.read_pages((page.as_py() for page in pages.cast(pa.binary())), names)
+        return pa.StructArray.from_arrays([page_reader.to_arrow(nodes), pa.array(errors, pa.string())], ["nodes", "error"])
 
     return nodes_of(source)
 
 
-def fragment_nodes(fragments: Column, wanted: Wanted) -> Column:
-    """``nodes`` of every fragment in an array."""
+def page_nodes(source: Column, wanted: Wanted) -> Column:
+    """``nodes`` of a page; null for a null or unreadable page."""
+    return read_page(source, wanted)["nodes"]
+
+
+def read_fragments(groups: Column, wanted: Wanted) -> Column:
+    """``struct<f,n>``, text and nodes, of every fragment in groups of fragments (``array<array<string>>``): one reader call for all.
+
+    A fragment that cannot be read has no nodes.
+    """
     names = (wanted.tags, wanted.attrs, wanted.text_of, wanted.places)
 
-    @F.arrow_udf(f"array<{NODES}>")
-    def nodes_of(rows: pa.Array) -> pa.Array:
-        flat = page_reader.to_arrow([page_reader.read_nodes(f.as_py(), *names) for f in rows.values.cast(pa.binary())])
-        return pa.ListArray.from_arrays(rows.offsets, flat)
+    @F.arrow_udf(f"array<array<struct<f:string,n:{NODES}>>>")
+    def read(rows: pa.Array) -> pa.Array:
+        inner = rows.values
+        nodes, _ = page_reader.read_pages((f.as_py() for f in inner.values.cast(pa.binary())), names)
+        both = pa.StructArray.from_arrays([inner.values, page_reader.to_arrow([n or [] for n in nodes])], ["f", "n"])
+        return pa.ListArray.from_arrays(rows.offsets, pa.ListArray.from_arrays(inner.offsets, both))
 
-    return nodes_of(F.coalesce(fragments, empty_strings()))
+    return read(F.coalesce(groups, F.array().cast("array<array<string>>")))
 
 
 def _fragment_context(nodes: Column) -> Column:
-    """The root of a fragment: its one top element, or the fragment itself."""
-    virtual = F.struct(F.lit(-1).alias("pre"), F.lit(2**31 - 1).alias("last"))
-    tops = F.filter(nodes, lambda n: n["parent"] == -1)
-    return F.when(F.size(tops) == 1, F.struct(tops[0]["pre"].alias("pre"), tops[0]["last"].alias("last"))
-                  ).otherwise(virtual)
+    """The root of a fragment: its one top element, or (-1) the fragment itself."""
+    def root(tops: Column) -> Column:
+        return F.when(F.size(tops) == 1, F.get(tops, F.lit(0))).otherwise(-1)
+    return let(F.filter(span(nodes, None), lambda i: node_at(nodes, i)["parent"] == -1), root)
 
 
-def _per_fragment(fragments: Column, query: str, fn) -> Column:
+def _per_fragment(groups: Column, query: str, fn) -> Column:
     selector = parse_selector(query)
     selector = relative(selector) if query.startswith("css:") else selector
-    nodes = fragment_nodes(fragments, Wanted.of([selector], tags=["*"]))
-    return F.transform(F.arrays_zip(fragments.alias("f"), nodes.alias("n")), lambda z: fn(z["f"], z["n"], selector))
+    read = read_fragments(groups, Wanted.of([selector], tags=["*"]))
+    return F.transform(read, lambda g: F.transform(g, lambda z: fn(z["f"], z["n"], selector)))
 
 
-def select_in_fragments(fragments: Column, query: str) -> Column:
-    """Select again inside each fragment; all matches in one list."""
+def select_in_fragments(groups: Column, query: str) -> Column:
+    """Select again inside each fragment; all matches of a group in one list."""
     def fn(f: Column, nodes: Column, selector: Selector) -> Column:
-        return select_values(nodes, selector, f.cast("binary"), _fragment_context(nodes))
-    return F.flatten(_per_fragment(fragments, query, fn))
+        return let(_fragment_context(nodes), lambda c: select_values(nodes, selector, f.cast("binary"), c))
+    return F.transform(_per_fragment(groups, query, fn), lambda found: F.flatten(found))
 
 
-def purge_fragments(fragments: Column, query: str) -> Column:
+def purge_fragments(groups: Column, query: str) -> Column:
     """Each fragment without the nodes that match, at any depth; text after them stays."""
     def fn(f: Column, nodes: Column, selector: Selector) -> Column:
         source = f.cast("binary")
 
         def rebuild(cuts: Column) -> Column:
-            before = F.transform(cuts, lambda n, i: _between(source, _stop(cuts, i - 1), n["start"]))
+            before = F.transform(cuts, lambda n, k: _between(source, _stop(cuts, k - 1), n["start"]))
             rest = _between(source, _stop(cuts, F.size(cuts) - 1), F.octet_length(source))
             return F.concat(F.array_join(before, ""), rest)
 
-        found = select_nodes(nodes, selector, _fragment_context(nodes))
-        outer = let(found, lambda all_: F.filter(all_, lambda n: ~F.exists(
-            all_, lambda o: (n["pre"] > o["pre"]) & (n["pre"] <= o["last"]))))
-        return let(outer, rebuild)
-    return _per_fragment(fragments, query, fn)
+        def outermost(found: Column) -> Column:
+            return F.array_except(found, F.flatten(F.transform(found, lambda i: span(nodes, i))))
+
+        found = let(_fragment_context(nodes), lambda c: select_nodes(nodes, selector, c))
+        return let(offsets(nodes, let(found, outermost)), rebuild)
+    return _per_fragment(groups, query, fn)
 
 
-def _stop(cuts: Column, i: Column) -> Column:
-    return F.coalesce(F.when(i >= 0, F.get(cuts, i)["stop"]), F.lit(0))
+def _stop(cuts: Column, k: Column) -> Column:
+    return F.coalesce(F.when(k >= 0, F.get(cuts, k)["stop"]), F.lit(0))
 
 
 def _between(source: Column, start: Column, stop: Column) -> Column:

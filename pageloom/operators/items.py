@@ -8,18 +8,18 @@ page source or node array is copied per row and nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.base import all_matches, empty_strings, let
 from ..functions.jsonpath import cut_json, variant_text, variant_values
-from ..functions.macros import Macros, job_macros
-from ..functions.parse import Values, parser, reads_markup
+from ..functions.macros import Macros, fill, fixed_columns, fixed_values, job_macros
+from ..functions.parse import Step, Values, compile_parser, markup_stages, parser, reads_markup, run
 from ..functions.urls import url_sha1
-from .dom import page_nodes
-from .selectors import Selector, Wanted, parse_selector, relative, select_nodes, select_values
+from .dom import read_page
+from .selectors import Bind, Selector, Wanted, node_at, parse_selector, relative, select_nodes, select_values, span
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -40,12 +40,12 @@ class Field:
     opt: bool = False
     upsert: bool = False
 
-    def selector(self) -> Selector | None:
+    def selector(self, bind: Bind = str) -> Selector | None:
         if self.value is not None:
             return None
         if self.css:
-            return relative(parse_selector("css:" + self.css))
-        return parse_selector(self.xpath) if self.xpath else None
+            return relative(parse_selector("css:" + self.css, bind))
+        return parse_selector(self.xpath, bind) if self.xpath else None
 
 
 Fields = Mapping[str, Field | Mapping]
@@ -71,20 +71,37 @@ class Job:
     def clock(self) -> Column:
         return F.current_timestamp() if self.now is None else self.now
 
+    def fixed(self, spark: SparkSession, templates: Iterable) -> dict[str, str]:
+        """Values, at plan time, of the names in ``templates`` that no page changes."""
+        return fixed_values(spark, fixed_columns(self.clock(), self.tz, self.site, self.conf), templates)
+
     def macros(self, pages: DataFrame) -> Macros:
         keyword = F.coalesce(F.col("keyword"), F.lit("")) if "keyword" in pages.columns else F.lit("")
         page_vars = F.col("vars") if "vars" in pages.columns else None
         return job_macros(self.clock(), self.tz, F.col("url"), keyword, self.sep, self.site, self.conf, page_vars)
 
 
+def _filled(fields: dict[str, Field], loop: str | None, spark: SparkSession, job: Job) -> tuple[dict[str, Field], str | None]:
+    """Selectors and paths with the job's own names filled in; the loop may have no others."""
+    fixed = job.fixed(spark, [loop, *(getattr(f, part) for f in fields.values() for part in ("css", "xpath", "jpath"))])
+    fields = {k: replace(f, css=fill(f.css, fixed), xpath=fill(f.xpath, fixed), jpath=fill(f.jpath, fixed, last=True)) for k, f in fields.items()}
+    return fields, fill(loop, fixed, last=True)
+
+
 def extract_html_items(pages: DataFrame, fields: Fields, loop: str | None = None, job: Job = Job(),
                        keep: Iterable[str] = ("page_id",), page_hook: Hook | None = None,
-                       drop_incomplete: bool = True) -> DataFrame:
-    """Items of HTML pages; one per node matched by ``loop`` (default: one per page)."""
-    fields = as_fields(fields)
+                       drop_incomplete: bool = True, errors: str | None = None) -> DataFrame:
+    """Items of HTML pages; one per node matched by ``loop`` (default: one per page).
+
+    Selectors may name what the job has (clock, ``SITE``, ``CONF``), and in quoted values what the page
+    has (``URL``, ``keyword``, ``COLn``, page variables). Pages that are empty or that the reader cannot
+    take give no items; with ``errors``, the name of one more column, each gives a row without field
+    values that says there what was wrong (see ``split_errors``).
+    """
     pages = pages.transform(page_hook) if page_hook else pages
     macros = job.macros(pages)
-    selectors = {k: f.selector() for k, f in fields.items()}
+    fields, loop = _filled(as_fields(fields), loop, pages.sparkSession, job)
+    selectors = {k: f.selector(macros.bind) for k, f in fields.items()}
     for key, f in fields.items():
         if f.value is None and selectors[key] is None:
             raise ValueError(f"field {key!r} needs value, css or xpath")
@@ -98,34 +115,78 @@ def extract_html_items(pages: DataFrame, fields: Fields, loop: str | None = None
 
     def per_context(row_of: Callable[[Callable[[str], Values]], Column]) -> Column:
         nodes = F.col("_nodes")
-        contexts = select_nodes(nodes, row) if row else F.slice(F.filter(nodes, lambda n: n["tag"] != "#text"), 1, 1)
+        contexts = select_nodes(nodes, row) if row else F.slice(F.filter(span(nodes, None), lambda i: node_at(nodes, i)["tag"] != "#text"), 1, 1)
         return let(F.col("html").cast("binary"), lambda source: F.flatten(F.transform(
             contexts, lambda c: row_of(lambda k: raw(k, nodes, source, c)))))
 
-    def finished(raw_of: Callable[[str], Values]) -> Column:
-        return _finish(fields, raw_of, macros, job, drop_incomplete)
-
+    error = F.when(F.col("html").isNull() | (F.trim("html") == ""), "empty page")
     if not named:
-        return pages.select(*keep, F.inline(finished(lambda k: _constant(fields[k], macros))))
-    pages = pages.withColumn("_nodes", page_nodes(F.col("html"), Wanted.of(named)))
+        pages = pages.withColumn("_error", error)
+        return _rows(pages, keep, _finish(fields, lambda k: _constant(fields[k], macros), macros, job, drop_incomplete), errors)
+    pages = pages.withColumn("_read", read_page(F.col("html"), Wanted.of(named))).withColumns(
+        {"_nodes": F.col("_read.nodes"), "_error": F.coalesce(error, F.col("_read.error"))})
+    return _finished_rows(pages, fields, [k for k, s in selectors.items() if s], per_context, keep, macros, job, drop_incomplete, errors)
+
+
+def _finished_rows(pages: DataFrame, fields: dict[str, Field], found: list[str],
+                   per_context: Callable[[Callable[[Callable[[str], Values]], Column]], Column], keep: Iterable[str],
+                   macros: Macros, job: Job, drop_incomplete: bool, errors: str | None) -> DataFrame:
+    """Rows of all contexts, the fields in ``found`` read there.
+
+    Where a parser reads markup, a second page reader works on what was selected, so that is made rows
+    first, and again before each further one.
+    """
+    def finished(raw_of: Callable[[str], Values], steps: Mapping[str, list[Step]] | None = None) -> Column:
+        return _finish(fields, raw_of, macros, job, drop_incomplete, steps)
+
     if not any(reads_markup(f.parse) for f in fields.values()):
-        return pages.select(*keep, F.inline(per_context(finished)))
-    # a second page reader works on the selected fragments, so they are made rows first
-    found = [k for k, s in selectors.items() if s]
-    raw_rows = per_context(lambda raw_of: F.array(F.struct(*[raw_of(k).array().alias(f"_raw_{k}") for k in found])))
+        return _rows(pages, keep, per_context(finished), errors)
     others = [c for c in ("url", "keyword", "vars") if c in pages.columns and c not in keep]
-    rows = pages.select(*keep, *others, F.inline(raw_rows))
-    return rows.select(*keep, F.inline(finished(
-        lambda k: Values(F.col(f"_raw_{k}"), many=True) if k in found else _constant(fields[k], macros))))
+    stages = {k: markup_stages(compile_parser(fields[k].parse, job.clock())) for k in found}
+
+    def raw(raw_of: Callable[[str], Values]) -> Column:
+        return F.array(F.struct(*[_grep(raw_of(k), fields[k].regex).array().alias(f"_raw_{k}") for k in found]))
+
+    rows, dtypes = _rows(pages, [*keep, *others], per_context(raw), "_error" if errors else None), dict.fromkeys(found, "string")
+    for i in range(max(map(len, stages.values())) - 1):
+        done = {k: run(stages[k][i], Values(F.col(f"_raw_{k}"), dtypes[k], True)) if i < len(stages[k]) - 1 else
+                Values(F.col(f"_raw_{k}"), dtypes[k], True) for k in found}
+        dtypes = {k: v.dtype for k, v in done.items()}
+        held = [*keep, *others, *(["_error"] if errors else [])]
+        rows = rows.select(*held, F.inline(F.array(F.struct(*[v.array().alias(f"_raw_{k}") for k, v in done.items()]))))
+    return _rows(rows, keep, finished(
+        lambda k: Values(F.col(f"_raw_{k}"), dtypes[k], True) if k in found else _constant(fields[k], macros),
+        {k: s[-1] for k, s in stages.items()}), errors)
+
+
+def _rows(pages: DataFrame, keep: Iterable[str], items: Column, errors: str | None) -> DataFrame:
+    """One row per item; with ``errors``, also one for each page with an ``_error``, in which all else is null."""
+    if errors is None:
+        return pages.select(*keep, F.inline(items))
+    kind = pages.select(items.alias("items")).schema["items"].dataType.elementType
+    failed = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields], F.col("_error").alias(errors))
+    good = F.transform(items, lambda r: F.struct(*[r[f.name].alias(f.name) for f in kind.fields], F.lit(None).cast("string").alias(errors)))
+    return pages.select(*keep, F.inline(F.when(F.col("_error").isNull(), good).otherwise(F.array(failed))))
+
+
+def split_errors(rows: DataFrame, errors: str, keep: Iterable[str] = ("page_id",)) -> tuple[DataFrame, DataFrame]:
+    """``(items, quarantine)`` of rows that were extracted with ``errors``.
+
+    Both are filters on the same rows: write the rows, or cut their lineage, first, and pages are read once.
+    """
+    return rows.filter(F.col(errors).isNull()).drop(errors), rows.filter(F.col(errors).isNotNull()).select(*keep, errors)
 
 
 def extract_json_items(pages: DataFrame, fields: Fields, loop: str = "$[]", job: Job = Job(),
                        container: str = "object", body: str = "body", keep: Iterable[str] = ("page_id",),
-                       page_hook: Hook | None = None, drop_incomplete: bool = True) -> DataFrame:
-    """Items of JSON pages (also JSONP); one per match of ``loop``."""
-    fields = as_fields(fields)
+                       page_hook: Hook | None = None, drop_incomplete: bool = True, errors: str | None = None) -> DataFrame:
+    """Items of JSON pages (also JSONP); one per match of ``loop``.
+
+    ``loop`` and ``jpath`` may name what the job has. Pages without JSON give no items; ``errors`` is as for HTML.
+    """
     pages = pages.transform(page_hook) if page_hook else pages
     macros = job.macros(pages)
+    fields, loop = _filled(as_fields(fields), loop, pages.sparkSession, job)
     for key, f in fields.items():
         if f.value is None and f.jpath is None:
             raise ValueError(f"field {key!r} needs value or jpath")
@@ -140,10 +201,14 @@ def extract_json_items(pages: DataFrame, fields: Fields, loop: str = "$[]", job:
     text = F.col(body)
     if dict(pages.dtypes)[body] == "binary":
         text = F.make_valid_utf8(text.cast("string"))
-    elements = variant_values(F.try_parse_json(cut_json(text, container)), loop)
-    found = F.flatten(F.transform(
-        elements, lambda e: _finish(fields, lambda k: raw(k, e), macros, job, drop_incomplete)))
-    return pages.select(*keep, F.inline(found))
+    document = F.try_parse_json(cut_json(text, container))
+    pages = pages.withColumn("_error", F.when(document.isNull(), "no JSON") if errors else F.lit(None).cast("string"))
+
+    def per_context(row_of: Callable[[Callable[[str], Values]], Column]) -> Column:
+        return F.flatten(F.transform(variant_values(document, loop), lambda e: row_of(lambda k: raw(k, e))))
+
+    found = [k for k, f in fields.items() if f.value is None]
+    return _finished_rows(pages, fields, found, per_context, keep, macros, job, drop_incomplete, errors)
 
 
 def _constant(f: Field, macros: Macros) -> Values:
@@ -152,14 +217,18 @@ def _constant(f: Field, macros: Macros) -> Values:
 
 
 def _finish(fields: dict[str, Field], raw: Callable[[str], Values], macros: Macros, job: Job,
-            drop_incomplete: bool) -> Column:
-    """Array of no or one finished row: regex, parse, default, required rule, scalarise."""
+            drop_incomplete: bool, steps: Mapping[str, list[Step]] | None = None) -> Column:
+    """Array of no or one finished row: regex, parse, default, required rule, scalarise.
+
+    ``steps`` are what is left of the parsers of fields that were begun before.
+    """
     lists, dtypes, needed = [], {}, []
     for key, f in fields.items():
         values = raw(key)
-        if f.regex:
-            values = _grep(values, f.regex)
-        values = parser(f.parse, job.clock())(values)
+        if steps and key in steps:
+            values = run(steps[key], values)
+        else:
+            values = parser(f.parse, job.clock())(_grep(values, f.regex))
         dtypes[key] = values.dtype
         lists.append(_with_default(key, f, values, macros).alias(key))
         if not (f.multi or f.opt):
@@ -180,7 +249,9 @@ def _finish(fields: dict[str, Field], raw: Callable[[str], Values], macros: Macr
     return let(F.struct(*lists), finish)
 
 
-def _grep(values: Values, regex: str) -> Values:
+def _grep(values: Values, regex: str | None) -> Values:
+    if not regex:
+        return values
     if not values.many:
         return Values(F.coalesce(all_matches(values.column, regex), empty_strings()), many=True)
     return Values(F.flatten(F.transform(values.column, lambda x: all_matches(x, regex))), many=True)
@@ -213,7 +284,7 @@ def upsert_keys(fields: Fields) -> list[str]:
 
 
 def broken_pages(pages: DataFrame, source: str = "html") -> DataFrame:
-    """Pages without a readable body, for a quarantine table."""
+    """Pages without a body, for a quarantine table; ``errors`` of ``extract_html_items`` also tells of those the reader cannot take."""
     return pages.filter(F.col(source).isNull() | (F.trim(source) == ""))
 
 

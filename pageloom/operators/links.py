@@ -7,16 +7,17 @@ A page's links are found, filtered and made unique inside the page's own row
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.base import java_regex, let, strip
+from ..functions.macros import fill, fixed_columns, fixed_values
 from ..functions.text import strip_tags, unescape
 from .dom import page_nodes
-from .selectors import Selector, Wanted, outer_html, parse_selector, select_nodes, select_values
+from .selectors import Selector, Wanted, node_at, outer_html, parse_selector, select_nodes, select_values, span
 
 # One pass: comments, scripts and styles are taken whole, so anchors inside them are not seen.
 _PIECE = (r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
@@ -45,6 +46,11 @@ class LinkRule:
     vars: Mapping[str, str] = field(default_factory=dict)
     decode: bool = False           # percent escapes to readable text after the page test
 
+    def filled(self, fixed: Mapping[str, str]) -> "LinkRule":
+        """With the names in ``fixed`` filled in; an unknown ``${NAME}`` raises."""
+        parts = ("match", "regex", "xpath", "css")
+        return replace(self, **{p: fill(getattr(self, p), fixed, last=True) for p in parts})
+
     def region(self) -> Selector | None:
         if self.css:
             return parse_selector("css:" + self.css)
@@ -74,15 +80,15 @@ def page_anchors(source: Column) -> Column:
 
 def region_anchors(nodes: Column, source: Column, region: Selector) -> Column:
     """The same, for anchors in or at the nodes of a region."""
-    def inside(regions: Column) -> Column:
-        return F.filter(nodes, lambda n: n["tag"].isin("a", "area") & F.try_element_at(
-            n["attrs"], F.lit("href")).isNotNull() & F.exists(
-            regions, lambda r: (n["pre"] >= r["pre"]) & (n["pre"] <= r["last"])))
+    def is_anchor(i: Column) -> Column:
+        n = node_at(nodes, i)
+        return n["tag"].isin("a", "area") & F.try_element_at(n["attrs"], F.lit("href")).isNotNull()
 
-    found = let(select_nodes(nodes, region), inside)
-    return F.transform(found, lambda n: F.struct(
-        F.try_element_at(n["attrs"], F.lit("href")).alias("href"),
-        F.regexp_extract(outer_html(n, source), _TEXT, 1).alias("text")))
+    within = F.transform(select_nodes(nodes, region), lambda r: F.filter(F.concat(F.array(r), span(nodes, r)), is_anchor))
+    found = F.sort_array(F.array_distinct(F.flatten(within)))
+    return F.transform(found, lambda i: F.struct(
+        F.try_element_at(node_at(nodes, i)["attrs"], F.lit("href")).alias("href"),
+        F.regexp_extract(outer_html(node_at(nodes, i), source), _TEXT, 1).alias("text")))
 
 
 def _page_base() -> Column:
@@ -140,13 +146,18 @@ def _first_per_link(links: Column) -> Column:
 
 
 def extract_links(pages: DataFrame, rules: Iterable[LinkRule | Mapping] = (), domains: Iterable[str] = (),
-                  sub_first: bool = False, keep: Iterable[str] = ()) -> DataFrame:
+                  sub_first: bool = False, keep: Iterable[str] = (), names: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per link and page; an earlier rule takes the link from later ones.
 
+    ``match``, ``regex``, ``xpath`` and ``css`` of a rule may name what is the same for all pages:
+    ``names`` (see ``fixed_columns``; by default the clock), filled in when the job is planned.
     Columns: ``src_page_id, src_url, rule, rule_idx, pos, url, text, do_follow,
     do_parse, vars`` and, if the pages have one, ``keyword``.
     """
     rules = [r if isinstance(r, LinkRule) else LinkRule(**r) for r in rules] or [LinkRule("all")]
+    written = [t for r in rules for t in (r.match, r.regex, r.xpath, r.css)]
+    fixed = fixed_values(pages.sparkSession, fixed_columns(F.current_timestamp()) if names is None else names, written)
+    rules = [r.filled(fixed) for r in rules]
     keep = list(keep) + [c for c in ("keyword",) if c in pages.columns and c not in keep]
     inherited = F.col("vars") if "vars" in pages.columns else urls.string_map({})
     pages = pages.withColumnsRenamed({"page_id": "src_page_id", "url": "src_url"})

@@ -56,12 +56,17 @@ def _character(m: re.Match) -> str:
     return chr(point) if 0 < point < 0xD800 or 0xE000 <= point <= 0x10FFFF else m[0]
 
 
+#: Elements inside one another, at most: markup nested deeper is made to stall readers.
+DEEPEST = 4096
+
+
 def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list[list]:
     """Nodes of one page as rows in ``_ORDER``.
 
     Only elements in ``tags`` ('*' is all) and the first element, attributes in ``attrs``
-    and text below ``text_of`` are returned; numbers count every element. ``places`` asks
-    for the positions among siblings.
+    and text below ``text_of`` are returned; numbers count every element. ``end`` is the place, among the
+    returned nodes, of a node's last descendant. ``places`` asks for the positions among
+    siblings. A page nested deeper than ``DEEPEST`` raises ``ValueError``.
     """
     every, all_text = "*" in tags, "*" in text_of
     kept, stack, open_count, siblings, names = [], [], {}, {}, {}
@@ -73,7 +78,7 @@ def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list
         if all_text or (stack and stack[-1][1] in text_of):
             chunk = source[start:stop]
             kept.append([counter, counter, stack[-1][0] if stack else -1, "#text", 0, 0, 0, 0, {},
-                         chunk.decode("utf-8", "replace") if raw else _decode(chunk), start, stop])
+                         chunk.decode("utf-8", "replace") if raw else _decode(chunk), start, stop, len(kept)])
             counter += 1
 
     def close(count: int, stop: int) -> None:
@@ -81,7 +86,7 @@ def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list
             _, tag, node = stack.pop()
             open_count[tag] -= 1
             if node is not None:
-                node[1], node[11] = counter - 1, stop
+                node[1], node[11], node[12] = counter - 1, stop, len(kept) - 1
 
     while at < size:
         m = search(source, at)
@@ -125,11 +130,13 @@ def read_nodes(source: bytes, tags, attrs, text_of, places: bool = True) -> list
                     name = a[1].decode("utf-8", "replace").lower()
                     if name in attrs and name not in found:
                         found[name] = _decode(a[2] or a[3] or a[4] or b"")
-            node = [counter, counter, parent, tag, here, 0, back, 0, found, None, begin, end]
+            node = [counter, counter, parent, tag, here, 0, back, 0, found, None, begin, end, len(kept)]
             kept.append(node)
         counter += 1
         if tag in _VOID:
             continue
+        if len(stack) == DEEPEST:
+            raise ValueError(f"elements nested deeper than {DEEPEST}")
         stack.append((counter - 1, tag, node))
         open_count[tag] = open_count.get(tag, 0) + 1
         if tag in _RAW:
@@ -162,8 +169,22 @@ def _implied(stack: list, ends, limit) -> int:
     return cut
 
 
-_INTS = {0: "pre", 1: "last", 2: "parent", 4: "nth", 5: "nth_last", 6: "pos", 7: "pos_last", 10: "start", 11: "stop"}
-_ORDER = ["pre", "last", "parent", "tag", "nth", "nth_last", "pos", "pos_last", "attrs", "text", "start", "stop"]
+_INTS = {0: "pre", 1: "last", 2: "parent", 4: "nth", 5: "nth_last", 6: "pos", 7: "pos_last", 10: "start", 11: "stop", 12: "end"}
+_ORDER = ["pre", "last", "parent", "tag", "nth", "nth_last", "pos", "pos_last", "attrs", "text", "start", "stop", "end"]
+
+
+def read_pages(pages, names) -> tuple[list[list[list] | None], list[str | None]]:
+    """Nodes of every page, and what went wrong: a page that cannot be read has none and does not stop the others."""
+    nodes, errors = [], []
+    for page in pages:
+        found = error = None
+        try:
+            found = None if page is None else read_nodes(page, *names)
+        except Exception as e:  # whatever one page of millions does to the reader, it goes to its own row
+            error = f"{type(e).__name__}: {e}"
+        nodes.append(found)
+        errors.append(error)
+    return nodes, errors
 
 
 def to_arrow(pages: list[list[list] | None]) -> pa.Array:

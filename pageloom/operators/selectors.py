@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.base import let
 
 Test = Callable[[Column], Column]
+#: What a quoted value in a test stands for: itself, or a Column where it names something of the row.
+Bind = Callable[[str], "str | Column"]
 
 _STEP = re.compile(r"(//|/)?(\*|@?[\w-]+(?::[\w-]+)?(?:\(\))?|\.)((?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\])*)")
 _PREDICATE = re.compile(r"\[((?:[^\]\"']|\"[^\"]*\"|'[^']*')*)\]")
@@ -62,16 +64,16 @@ class Selector:
         return bool(self.steps) and self.steps[-1].tag == "#text"
 
 
-def parse_selector(text: str) -> Selector:
-    """``css:...`` is CSS, anything else XPath."""
-    return parse_css(text[4:]) if text.startswith("css:") else parse_xpath(text)
+def parse_selector(text: str, bind: Bind = str) -> Selector:
+    """``css:...`` is CSS, anything else XPath. ``bind`` is asked for each quoted value."""
+    return parse_css(text[4:], bind) if text.startswith("css:") else parse_xpath(text, bind)
 
 
-def parse_xpath(text: str) -> Selector:
+def parse_xpath(text: str, bind: Bind = str) -> Selector:
     path = text.strip()
     group = re.fullmatch(r"\((/[^()]*(?:\([^()]*\)[^()]*)*)\)\[(\d+)\](/.*)?", path)
     if group:
-        head, tail = parse_xpath(group[1]), parse_xpath("." + group[3]) if group[3] else None
+        head, tail = parse_xpath(group[1], bind), parse_xpath("." + group[3], bind) if group[3] else None
         if head.attr or head.gives_text or head.index:
             raise ValueError(f"unsupported XPath {text!r}")
         steps = head.steps + (tail.steps if tail else ())
@@ -90,11 +92,11 @@ def parse_xpath(text: str) -> Selector:
                 raise ValueError(f"unsupported XPath {text!r}")
             attr = name[1:].lower()
         elif name == "text()":
-            steps.append(_step(slash == "//", "#text", tests, text))
+            steps.append(_step(slash == "//", "#text", tests, text, bind))
         elif name.endswith(")"):
             raise ValueError(f"unsupported XPath {text!r}")
         else:
-            steps.append(_step(slash == "//", name.lower(), tests, text))
+            steps.append(_step(slash == "//", name.lower(), tests, text, bind))
     if end != len(path) or not (steps or attr or path == "."):
         raise ValueError(f"unsupported XPath {text!r}")
     if any(s.tag == "#text" for s in steps[:-1]) or (attr and steps and steps[-1].tag == "#text"):
@@ -102,7 +104,7 @@ def parse_xpath(text: str) -> Selector:
     return Selector(tuple(steps), path.startswith("/"), attr)
 
 
-def _step(descend: bool, tag: str, predicates: str, source: str) -> Step:
+def _step(descend: bool, tag: str, predicates: str, source: str, bind: Bind) -> Step:
     tests, attrs = [], set()
     for body in _PREDICATE.findall(predicates):
         place = re.fullmatch(r"\s*(?:(\d+)|last\(\)\s*(?:-\s*(\d+))?)\s*", body)
@@ -110,12 +112,12 @@ def _step(descend: bool, tag: str, predicates: str, source: str) -> Step:
             at = int(place[1]) if place[1] else -int(place[2] or 0)
             tests.append(Position(at, of_tag=tag != "*"))
             continue
-        tests.append(_any(re.split(r"\s+or\s+", body), attrs, source))
+        tests.append(_any(re.split(r"\s+or\s+", body), attrs, source, bind))
     return Step(descend, tag, tuple(tests), frozenset(attrs))
 
 
-def _any(alternatives: list[str], attrs: set, source: str) -> Test:
-    groups = [[_atom(a, attrs, source) for a in re.split(r"\s+and\s+", alt)] for alt in alternatives]
+def _any(alternatives: list[str], attrs: set, source: str, bind: Bind) -> Test:
+    groups = [[_atom(a, attrs, source, bind) for a in re.split(r"\s+and\s+", alt)] for alt in alternatives]
 
     def test(n: Column) -> Column:
         out = None
@@ -129,19 +131,19 @@ def _any(alternatives: list[str], attrs: set, source: str) -> Test:
     return test
 
 
-def _atom(body: str, attrs: set, source: str) -> Test:
+def _atom(body: str, attrs: set, source: str, bind: Bind) -> Test:
     m = _ATOM.fullmatch(body)
     if not m or bool(m[1]) != bool(m[8]):
         raise ValueError(f"unsupported predicate [{body}] in {source!r}")
     name = (m[3] or m[5]).lower()
     attrs.add(name)
-    value = (m[4] or m[7] or "''")[1:-1]
+    value = bind((m[4] or m[7] or "''")[1:-1])
     op = m[2] or m[6] or "has"
     return _attribute_test(name, {"=": "=", "!=": "!=", "has": "has", "contains": "*=", "starts-with": "^="}[op],
                            value, negate=bool(m[1]))
 
 
-def _attribute_test(name: str, op: str, value: str, negate: bool = False) -> Test:
+def _attribute_test(name: str, op: str, value: str | Column, negate: bool = False) -> Test:
     def test(n: Column) -> Column:
         a = F.try_element_at(n["attrs"], F.lit(name))
         hit = {
@@ -151,7 +153,7 @@ def _attribute_test(name: str, op: str, value: str, negate: bool = False) -> Tes
             "*=": lambda: a.contains(value),
             "^=": lambda: a.startswith(value),
             "$=": lambda: a.endswith(value),
-            "|=": lambda: (a == value) | a.startswith(value + "-"),
+            "|=": lambda: (a == value) | a.startswith(F.concat(F.lit(value), F.lit("-"))),
             "~=": lambda: F.array_contains(F.split(a, r"\s+", -1), value),
         }[op]()
         hit = F.coalesce(hit, F.lit(False))
@@ -159,7 +161,7 @@ def _attribute_test(name: str, op: str, value: str, negate: bool = False) -> Tes
     return test
 
 
-def parse_css(text: str) -> Selector:
+def parse_css(text: str, bind: Bind = str) -> Selector:
     """Compound selectors joined by blank or ``>``; ``::text`` and ``::attr(x)`` at the end."""
     steps, attr, end = [], None, 0
     tag, tests, attrs, descend, seen = "*", [], set(), True, False
@@ -180,7 +182,7 @@ def parse_css(text: str) -> Selector:
             tag = m["tag"].lower()
         elif m["id"] or m["cls"] or m["attr"]:
             name, op, value = ("id", "=", m["id"]) if m["id"] else ("class", "~=", m["cls"]) if m["cls"] else \
-                (m["attr"].lower(), m["op"] or "has", (m["val"] or "").strip("\"'"))
+                (m["attr"].lower(), m["op"] or "has", bind((m["val"] or "").strip("\"'")))
             attrs.add(name)
             tests.append(_attribute_test(name, op, value))
         elif m["pseudo"]:
@@ -204,56 +206,57 @@ def relative(selector: Selector) -> Selector:
 
 
 # --- evaluation -----------------------------------------------------------------
+#
+# Found nodes are their places in the page's ``nodes`` array, in document order. What lies
+# below a node is the run of places up to its ``end``, so a step reads that run and no more,
+# and a loop over many rows reads the page once, not once a row.
+
+def node_at(nodes: Column, at: Column) -> Column:
+    return F.get(nodes, at)
+
+
+def span(nodes: Column, at: Column | None) -> Column:
+    """The places below the node at ``at``; null or -1 is the page."""
+    first, last = (F.lit(0), F.size(nodes) - 1) if at is None else (
+        at + 1, F.when(at >= 0, node_at(nodes, at)["end"]).otherwise(F.size(nodes) - 1))
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
 
 def select_nodes(nodes: Column, selector: Selector, context: Column | None = None) -> Column:
-    """Matching nodes in document order; ``context`` is one node struct, null the document."""
+    """Places of matching nodes in document order; ``context`` is the place of one node, null or -1 the document."""
     if selector.absolute:
         context = None
     if not selector.steps:
-        return F.array(context) if context is not None else F.filter(nodes, lambda n: n["parent"] == -1)
-    out = _one_step(nodes, selector.steps[0], _inside(context, selector.steps[0].descend))
+        top = F.filter(span(nodes, None), lambda i: node_at(nodes, i)["parent"] == -1)
+        return top if context is None else F.when(context >= 0, F.array(context)).otherwise(top)
+    out = _one_step(nodes, selector.steps[0], context)
     for i, step in enumerate(selector.steps[1:], 1):
         out = _next_step(nodes, step, out if selector.grouped != i else F.slice(out, selector.index, 1))
     return F.slice(out, selector.index, 1) if selector.grouped == len(selector.steps) else out
 
 
 def _next_step(nodes: Column, step: Step, found: Column) -> Column:
-    return let(found, lambda above: _one_step(nodes, step, _inside_any(above, step.descend)))
-
-
-def _inside(context: Column | None, descend: bool) -> Test:
-    if context is None:
-        return (lambda n: F.lit(True)) if descend else (lambda n: n["parent"] == -1)
-    if descend:
-        return lambda n: (n["pre"] > context["pre"]) & (n["pre"] <= context["last"])
-    return lambda n: n["parent"] == context["pre"]
-
+    """From every node found; those below nested ones are met more than once."""
+    out = F.flatten(F.transform(found, lambda c: _one_step(nodes, step, c)))
+    return F.sort_array(F.array_distinct(out) if step.descend else out)
 
-def _inside_any(found: Column, descend: bool) -> Test:
-    if descend:
-        return lambda n: F.exists(found, lambda c: (n["pre"] > c["pre"]) & (n["pre"] <= c["last"]))
-    return lambda n: F.exists(found, lambda c: n["parent"] == c["pre"])
 
-
-def _one_step(nodes: Column, step: Step, inside: Test) -> Column:
-    """Cheap tests first; the ancestor test runs only for nodes that passed them."""
+def _one_step(nodes: Column, step: Step, context: Column | None) -> Column:
     head, rest = _leading_tests(step.tests)
 
-    def base(n: Column) -> Column:
+    def base(i: Column) -> Column:
+        n = node_at(nodes, i)
         out = (n["tag"] != "#text") if step.tag == "*" else (n["tag"] == step.tag)
+        if not step.descend:
+            out = out & (n["parent"] == (F.lit(-1) if context is None else F.coalesce(node_at(nodes, context)["pre"], F.lit(-1))))
         for test in head:
             out = out & (_place(n, test) if isinstance(test, Position) else test(n))
         return out
 
-    if not rest:
-        return F.filter(nodes, lambda n: base(n) & inside(n))
-    found = F.filter(nodes, base)
+    found = F.filter(span(nodes, context), base)
     for test in rest:
-        if isinstance(test, Position):
-            found = _keep_place(found, test.at)
-        else:
-            found = F.filter(found, test)
-    return F.filter(found, inside)
+        found = _keep_place(nodes, found, test.at) if isinstance(test, Position) else F.filter(found, lambda i, t=test: t(node_at(nodes, i)))
+    return found
 
 
 def _leading_tests(tests: tuple) -> tuple[list, list]:
@@ -274,27 +277,39 @@ def _place(n: Column, p: Position) -> Column:
     return n[front] == p.at if p.at > 0 else n[back] == 1 - p.at
 
 
-def _keep_place(found: Column, at: int) -> Column:
-    return let(found, lambda same: F.filter(same, lambda n: _place_among(same, n, at)))
+def _keep_place(nodes: Column, found: Column, at: int) -> Column:
+    """The ``at``-th of the nodes found below each parent (from the back if not above 0).
+
+    Sorted by parent, a node is the ``at``-th if the one ``at - 1`` before it has its parent and the one before that has not.
+    """
+    near, far = (1 - at, -at) if at > 0 else (-at, 1 - at)
 
+    def kept(same: Column) -> Column:
+        parent = lambda k: F.get(same, k)["p"]
+        return F.filter(same, lambda x, k: (parent(k + near) == x["p"]) & F.coalesce(parent(k + far) != x["p"], F.lit(True)))
 
-def _place_among(same: Column, n: Column, at: int) -> Column:
-    if at > 0:
-        return F.size(F.filter(same, lambda m: (m["parent"] == n["parent"]) & (m["pre"] <= n["pre"]))) == at
-    return F.size(F.filter(same, lambda m: (m["parent"] == n["parent"]) & (m["pre"] >= n["pre"]))) == 1 - at
+    by_parent = F.sort_array(F.transform(found, lambda i: F.struct(node_at(nodes, i)["parent"].alias("p"), i.alias("i"))))
+    return F.sort_array(F.transform(let(by_parent, kept), lambda x: x["i"]))
 
 
-def read_values(found: Column, selector: Selector, source: Column) -> Column:
+def read_values(nodes: Column, found: Column, selector: Selector, source: Column) -> Column:
     """Text of the selected nodes: attribute, text node, or the source of the element.
 
     ``source`` is the page as binary: offsets are bytes, so a slice costs its own length.
     """
     if selector.attr:
-        values = F.transform(found, lambda n: F.try_element_at(n["attrs"], F.lit(selector.attr)))
+        values = F.transform(found, lambda i: F.try_element_at(node_at(nodes, i)["attrs"], F.lit(selector.attr)))
         return F.filter(values, lambda v: v.isNotNull())
     if selector.gives_text:
-        return F.transform(found, lambda n: n["text"])
-    return F.transform(found, lambda n: outer_html(n, source))
+        return F.transform(found, lambda i: node_at(nodes, i)["text"])
+    return F.transform(offsets(nodes, found), lambda n: outer_html(n, source))
+
+
+def offsets(nodes: Column, found: Column) -> Column:
+    """``struct<start,stop>`` of found nodes. Taken before the source is cut: Spark leaves a Python reader in the
+    plan, unevaluated, when one lambda over another reader's result needs both its nodes and its source.
+    """
+    return F.transform(found, lambda i: F.struct(node_at(nodes, i)["start"].alias("start"), node_at(nodes, i)["stop"].alias("stop")))
 
 
 def outer_html(n: Column, source: Column) -> Column:
@@ -302,7 +317,7 @@ def outer_html(n: Column, source: Column) -> Column:
 
 
 def select_values(nodes: Column, selector: Selector, source: Column, context: Column | None = None) -> Column:
-    return read_values(select_nodes(nodes, selector, context), selector, source)
+    return read_values(nodes, select_nodes(nodes, selector, context), selector, source)
 
 
 @dataclass(frozen=True)

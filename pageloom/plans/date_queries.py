@@ -122,13 +122,15 @@ def date_epoch(t: Tables) -> DataFrame:
     return t.events.select("event_id", at.alias("at"), seconds(at.cast("string"), "epoch", "+05:00").alias("again"))
 
 
-@query("SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+@query("""SELECT doc_id, NOT regexp_matches(text, '[0-9]') AS failed, CASE WHEN regexp_matches(text, '[0-9]')
+THEN CAST(epoch(TIMESTAMP '2013-03-01') AS BIGINT) + 86400 * (doc_id % 28) ELSE 0 END AS at FROM documents""")
 def date_failure(t: Tables) -> DataFrame:
-    """Documents without digits hold no date: the failure value, or null on request."""
-    lost = dates.parse_date(F.col("text"), "auto", "utc", F.lit(NOW))
-    null = dates.parse_date(F.col("text"), "auto", "utc", F.lit(NOW), on_error="null")
-    rows = t.documents.filter(~F.col("text").rlike("[0-9]"))
-    return rows.filter((dates.seconds(lost) == 0) & null.isNull()).select("doc_id")
+    """Documents without digits hold no date: the failure value, or null on request. The others are dated by their number."""
+    day = F.format_string("2013-03-%02d", F.col("doc_id") % 28 + 1)
+    text = F.when(F.col("text").rlike("[0-9]"), day).otherwise(F.col("text"))
+    lost = dates.parse_date(text, "auto", "utc", F.lit(NOW))
+    null = dates.parse_date(text, "auto", "utc", F.lit(NOW), on_error="null")
+    return t.documents.select("doc_id", null.isNull().alias("failed"), dates.seconds(lost).cast("bigint").alias("at"))
 
 
 @query("""SELECT CASE WHEN ts > TIMESTAMP '2024-01-20' THEN 'future'

@@ -95,25 +95,65 @@ def item_store(t: Tables) -> DataFrame:
     return items.store_columns(extract_html_items(t.pages, _STORED, job=job()), _STORED)
 
 
-@query(f"""SELECT page_id, array_to_string(regexp_extract_all({H1}, '[A-Z][a-z]+'), ',') AS words FROM pages
-WHERE len(regexp_extract_all({H1}, '[A-Z][a-z]+')) > 0""")
+@query(f"""SELECT page_id, array_to_string(regexp_extract_all({H1}, '[A-Z][a-z]+'), ',') AS words FROM pages""")
 def item_regex(t: Tables) -> DataFrame:
     found = extract_html_items(t.pages, {"words": {"xpath": "//h1", "regex": ">?([A-Z][a-z]+)", "multi": True}})
-    return found.select("page_id", F.array_join("words", ",").alias("words")).filter("words <> ''")
+    return found.select("page_id", F.array_join("words", ",").alias("words"))
 
 
 @query("""SELECT page_id, hrefs[pos] AS href, texts[pos] AS label, CAST(len(hrefs) AS INTEGER) AS entries FROM (
 SELECT page_id, hrefs, texts, unnest(range(1, len(hrefs) + 1)) AS pos FROM (
   SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
-         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages))
-WHERE texts[pos] <> ''""")
+         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages))""")
 def item_loop_nav(t: Tables) -> DataFrame:
     """One row per list entry; ``./`` paths start at the entry."""
     found = extract_html_items(t.pages, {
         "href": {"xpath": "./a/@href"}, "label": {"css": "a", "parse": ["text", "unesc"]},
         "whole": {"xpath": "."}, "all": {"xpath": "//nav/ul/li/a/@href", "multi": True},
     }, loop="//nav/ul/li")
-    return found.filter("label <> ''").select("page_id", "href", "label", F.size("all").alias("entries"))
+    return found.select("page_id", "href", "label", F.size("all").alias("entries"))
+
+
+def wide_pages(t: Tables) -> DataFrame:
+    """Pages of a thousand documents each, a table row for every document."""
+    row = F.concat(F.lit("<tr class='"), "lang", F.lit("'><td>"), F.col("doc_id").cast("string"), F.lit("<td><b>"), "source",
+                   F.lit("</b></td><td>"), F.col("n_chars").cast("string"), F.lit("</td></tr>\n"))
+    rows = F.sort_array(F.collect_list(F.struct("doc_id", row.alias("row"))))
+    grouped = t.documents.groupBy(F.floor(F.col("doc_id") / 1000).alias("page_id")).agg(rows.alias("rows"))
+    return grouped.select("page_id", F.concat(F.lit("http://wide/"), F.col("page_id").cast("string")).alias("url"),
+                          F.concat(F.lit("<table>"), F.array_join("rows.row", ""), F.lit("</table>")).alias("html"))
+
+
+@query("""SELECT doc_id // 1000 AS page_id, doc_id AS id, source AS src, n_chars AS chars,
+CAST(CASE WHEN row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id DESC) = 1 THEN 1 ELSE 0 END AS INTEGER) AS is_last
+FROM documents WHERE lang <> 'de'""")
+def item_loop_wide(t: Tables) -> DataFrame:
+    """A thousand rows to a page: what a row costs does not depend on the page's length."""
+    found = extract_html_items(wide_pages(t), {
+        "id": {"xpath": "./td[1]/text()", "parse": "int"}, "src": {"css": "td b::text"},
+        "chars": {"xpath": "td[last()]/text()", "parse": "int"}, "last": {"xpath": "//tr[@class != 'de'][last()]/td[1]/text()", "parse": "int"},
+    }, loop="//table//tr[@class!='de']")
+    return found.select("page_id", "id", "src", "chars", (F.col("id") == F.col("last")).cast("int").alias("is_last"))
+
+
+@query(f"""WITH p AS (SELECT *, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang FROM pages)
+SELECT page_id, CASE WHEN regexp_extract(html, '<html lang="(\\w+)">', 1) = lang THEN lang END AS same_lang,
+array_to_string(list_filter({NAV}, lambda x: contains(x, lang)), ' ') AS own, len({NAV}) AS entries,
+CASE WHEN {NAV}[1] = '/x' || page_id THEN 1 ELSE 0 END AS numbered FROM p""")
+def item_selector_macros(t: Tables) -> DataFrame:
+    """Selectors that name the job's site, a page variable, and columns of the keyword."""
+    pages = t.pages.withColumns({
+        "vars": urls.string_map({"LANG": F.regexp_extract("url", "/(en|de|fr|es)/", 1)}),
+        "keyword": F.concat(F.lit("key /x"), F.col("page_id").cast("string"))})
+    found = extract_html_items(pages, {
+        "same_lang": {"xpath": "/html[@lang='${LANG}']/@lang", "opt": True},
+        "own": {"xpath": "//${SITE}//a[contains(@href, '${LANG}')]/@href", "multi": True},
+        "every": {"css": "${SITE} a::attr(href)", "multi": True},
+        "numbered": {"xpath": "(//${SITE}//a)[1]/@href", "parse": ["len"], "default": 0, "opt": True},
+        "hit": {"css": "li:first-child a[href='${COL2}']::attr(href)", "multi": True},
+    }, loop="/html/body[not(@data-${SITE})]", job=Job(site="nav"))
+    return found.select("page_id", "same_lang", F.array_join("own", " ").alias("own"), F.size("every").cast("bigint").alias("entries"),
+                        F.size("hit").alias("numbered"))
 
 
 @query(f"""SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS head,
@@ -165,10 +205,15 @@ def json_broken(t: Tables) -> DataFrame:
     return items.broken_json(pages).select("event_id", F.col("props").alias("body"))
 
 
-@query("SELECT page_id FROM pages WHERE contains(url, '/de/')")
+@query(f"""SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'empty page'
+WHEN contains(url, '/fr/') THEN 'ValueError: elements nested deeper than 4096' END AS error,
+CASE WHEN NOT regexp_matches(url, '/(de|fr)/') THEN trim({TITLE}) END AS title FROM pages
+WHERE regexp_matches(url, '/(de|fr)/') OR {TITLE} <> ''""")
 def page_quarantine(t: Tables) -> DataFrame:
-    html = F.when(F.col("url").contains("/de/"), F.lit(" ")).otherwise(F.col("html"))
-    return items.broken_pages(t.pages.withColumn("html", html)).select("page_id")
+    """Empty pages, and pages nested to stall a reader, are told of in the same rows as the items of all others."""
+    html = F.when(F.col("url").contains("/de/"), F.lit(" ")).when(
+        F.col("url").contains("/fr/"), F.concat(F.repeat(F.lit("<i>"), 5000), "html")).otherwise(F.col("html"))
+    return extract_html_items(t.pages.withColumn("html", html), {"title": {"xpath": "//title/text()", "parse": "trim"}}, errors="error")
 
 
 @query(f"""SELECT page_id, replace(upper({TITLE}), 'ẞ', 'SS') AS title FROM pages WHERE {TITLE} <> ''""")
@@ -204,6 +249,38 @@ def parse_fragment(t: Tables) -> DataFrame:
     })
 
 
+@query(f"""SELECT page_id, array_to_string(texts, '|') AS labels, CAST(len(texts) AS BIGINT) AS n, array_to_string(list_transform(
+  hrefs, lambda h: h || ' '), '') AS hrefs FROM (
+  SELECT page_id, list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: {plain('x')}) AS texts,
+         {NAV} AS hrefs FROM pages)""")
+def item_json_markup(t: Tables) -> DataFrame:
+    """Markup in JSON pages: selected and purged there."""
+    nav = F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0)
+    pages = t.pages.select("page_id", "url", F.to_json(F.struct(F.struct(F.array(nav).alias("parts")).alias("page"))).alias("body"))
+    found = extract_json_items(pages, {
+        "labels": {"jpath": "$.parts[*]", "parse": [{"type": "xpath", "query": "//li/a"}, "text", "unesc"], "multi": True},
+        "n": {"jpath": "$.parts[*]", "parse": [{"type": "xpath", "query": "//li"}, {"type": "purge", "query": "a"}, "len"], "multi": True},
+        "hrefs": {"jpath": "$.parts[*]", "parse": [{"type": "xpath", "query": "//a/@href"}, {"type": "sub", "from": "$", "to": " "},
+                                                   {"type": "join", "sep": ""}], "multi": True},
+    }, loop="$.page")
+    one = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(0).cast("bigint"))
+    return found.select("page_id", F.array_join("labels", "|").alias("labels"), one("n").alias("n"), F.array_join("hrefs", "").alias("hrefs"))
+
+
+@query(f"""SELECT page_id, array_to_string(list_transform(range(1, len(hrefs) + 1), lambda i: hrefs[i] || '|' || {plain('texts[i]')}
+  || '|li'), '|') AS parts FROM (
+  SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS hrefs,
+         regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages)""")
+def parse_tee_markup(t: Tables) -> DataFrame:
+    """For each list entry in turn its address, its text, and what is left without the link."""
+    tee = {"type": "tee", "tee": [
+        {"type": "xpath", "query": "//a/@href"},
+        [{"type": "xpath", "query": "//a"}, "text", "unesc"],
+        [{"type": "tee", "tee": [{"type": "purge", "query": "a"}]}, {"type": "sub", "from": "^<(\\w+)></\\w+>$", "to": "\\1"}]]}
+    found = extract_html_items(t.pages, {"parts": {"xpath": "//nav/ul/li", "parse": [tee], "multi": True}})
+    return found.select("page_id", F.array_join("parts", "|").alias("parts"))
+
+
 @query("""WITH m AS (SELECT page_id, url, links, unnest(range(1, len(links) + 1)) AS p FROM (
   SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS links FROM pages))
 SELECT page_id AS item_id, CAST(p - 1 AS INTEGER) AS pos, links[p] AS image_url, url AS referer FROM m

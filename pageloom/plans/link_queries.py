@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.macros import fixed_columns
 from ..operators import dedup, links
 from ..operators.links import LinkRule, extract_links
 from ..operators.walk import walk, walked_pages
@@ -108,6 +109,17 @@ def links_page_match(t: Tables) -> DataFrame:
     return extract_links(t.pages, rules).select("src_page_id", "url")
 
 
+@query(f"""WITH {ANCHORS}, u AS (SELECT *, CASE WHEN regexp_matches(url, '//[^/]*/2') AND regexp_matches(src_url, '[.]example[.]net') THEN 'dated'
+    WHEN regexp_matches(url, '[a-m][^/]*$') THEN 'region' END AS rule FROM anchors)
+SELECT src_page_id, rule, url, text FROM (SELECT * FROM u WHERE rule IS NOT NULL) QUALIFY {FIRST}""")
+def links_rule_macros(t: Tables) -> DataFrame:
+    """Rules that name the site and the clock, filled in when the job is planned."""
+    names = fixed_columns(F.lit(datetime(2024, 2, 1)), site="example")
+    rules = [LinkRule("dated", match=r"[.]${SITE}[.]net", regex="//[^/]*/${IMONTH}"),
+             LinkRule("region", regex="[a-m][^/]*$", xpath="//nav[not(@class='${YEAR}')]//li")]
+    return extract_links(t.pages, rules, names=names).select("src_page_id", "rule", "url", "text")
+
+
 _DOMAINS = r"^(www|m|blog)\."
 
 

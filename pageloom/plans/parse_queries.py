@@ -197,10 +197,10 @@ def parse_string_methods(t: Tables) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(trim(text, chr(10)||' '), '\\s+'),
-lambda w: w <> '')) AS INTEGER) AS words, CAST(len(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END,
-chr(10))) AS INTEGER) AS lines FROM conversations WHERE text <> ''""")
+lambda w: w <> '')) AS INTEGER) AS words, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(
+CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) END AS INTEGER) AS lines FROM conversations""")
 def parse_split(t: Tables) -> DataFrame:
-    return t.conversations.filter("text <> ''").select(
+    return t.conversations.select(
         "conv_id", "turn", F.size(parse_value(F.col("text"), "split")).alias("words"),
         F.size(parse_value(F.col("text"), "splitlines")).alias("lines"))
 

@@ -180,3 +180,105 @@ def test_filter_on_address_goes_below_the_page_reader(pages):
 
 def test_constants_need_no_python(pages):
     assert python_stages(extract_html_items(pages, {"u": {"value": "${URL}"}})) == 0
+
+
+def wide_page(n):
+    return "<table>" + "".join(f"<tr class='c{i % 3}'><td>{i}</td><td><b>{i * 2}</b><i>x</i></td></tr>" for i in range(n)) + "</table>"
+
+
+def test_wide_loop_costs_by_the_row(spark):
+    import time
+    fields = {"a": {"xpath": "td[1]/text()", "parse": "int"}, "b": {"css": "td b::text"}, "k": {"xpath": "./@class"}}
+
+    def seconds(n):
+        pages = spark.createDataFrame([(1, "u", wide_page(n))], "page_id int, url string, html string")
+        df = extract_html_items(pages, fields, loop="//table//tr[@class!='c0']")
+        best = 1e9
+        for _ in range(3):
+            start = time.time()
+            rows = df.collect()
+            best = min(best, time.time() - start)
+        assert [(r.a, r.b, r.k) for r in rows] == [(i, str(2 * i), f"c{i % 3}") for i in range(n) if i % 3]
+        return best
+    seconds(500)
+    assert seconds(8000) < 3 * seconds(4000) + 0.5
+
+
+NESTED = "<div><p class=x>1<div id=in><p>2</p><p class=x>3</p><div><p class=x>4</p></div></div><p class=x>5</p></div><p class=x>6</p>"
+
+
+@pytest.mark.parametrize("selector, want", [
+    ("//div//p/text()", ["1", "2", "3", "4", "5"]), ("//div//p[@class='x'][2]/text()", ["5"]),
+    ("//div//p[@class='x'][last()]/text()", ["3", "4", "5"]), ("//div/div//p[@class='x'][last()-0]/text()", ["3", "4"]),
+    ("//div//div//p/text()", ["2", "3", "4"]), ("(//p[@class='x'])[3]/text()", ["4"]), ("css:div div p.x::text", ["4"]),
+    ("css:div > p:last-child::text", ["4"])])
+def test_nested_contexts_give_each_node_once_in_order(spark, selector, want):
+    pages = spark.createDataFrame([(1, "u", NESTED)], "page_id int, url string, html string")
+    field = {"css": selector[4:]} if selector.startswith("css:") else {"xpath": selector}
+    assert extract_html_items(pages, {"x": {**field, "multi": True}}).first().x == want
+
+
+def test_end_is_the_place_of_the_last_returned_descendant():
+    nodes = read_nodes(NESTED.encode(), frozenset(["p", "div"]), frozenset(), frozenset(["p"]))
+    for at, n in enumerate(nodes):
+        inside = [k for k, m in enumerate(nodes) if n[0] < m[0] <= n[1]]
+        assert n[12] == max(inside, default=at) and inside == list(range(at + 1, n[12] + 1))
+
+
+def test_selectors_name_the_job_and_the_page(spark):
+    html = "<p id=k1>one</p><p id='http://m/1'>two</p><p id=v>three</p><p id='$x'>four</p><p id=2020>five</p>"
+    pages = spark.createDataFrame([(1, "http://m/1", html, "k0 k1", {"VAR": "v"})],
+                                  "page_id int, url string, html string, keyword string, vars map<string,string>")
+    job = Job(now=F.lit(datetime(2020, 2, 28)), site="p")
+
+    def value(xpath, **more):
+        return extract_html_items(pages, {"x": {"xpath": xpath}}, job=job, **more).first().x
+    assert value("//p[@id='${COL2}']/text()") == "one"
+    assert value("//${SITE}[@id='${URL}']/text()") == "two"
+    assert value("//p[contains(@id, '$VAR')]/text()") == "three"
+    assert value("//p[@id='$$x']/text()") == value("//p[@id='$x']/text()") == "four"
+    assert value("text()", loop="//${SITE}[@id='${YEAR}']") == "five"
+    for field, more in (({"xpath": "//p[@id='${NAME}']"}, {}), ({"css": "${lower}"}, {}), ({"xpath": "//p"}, {"loop": "//p[@id='${URL}']"})):
+        with pytest.raises(ValueError):
+            extract_html_items(pages.drop("vars"), {"x": field}, job=job, **more)
+
+
+def test_json_paths_name_the_job(spark):
+    pages = spark.createDataFrame([(1, "u", '{"shop": [{"a2020": 5}]}')], "page_id int, url string, body string")
+    job = Job(now=F.lit(datetime(2020, 2, 28)), site="shop")
+    assert extract_json_items(pages, {"x": {"jpath": "$.a${YEAR}"}}, loop="$.${SITE}[*]", job=job).first().x == "5"
+    with pytest.raises(ValueError):
+        extract_json_items(pages, {"x": {"jpath": "$.${URL}"}}, job=job)
+
+
+def test_pages_that_cannot_be_read_tell_why(pages, spark):
+    deep = spark.createDataFrame([(5, "u", "<b>" * 5000)], "page_id bigint, url string, html string")
+    for fields in ({"h": {"xpath": "//h1"}}, {"h": {"xpath": "//h1", "parse": [{"type": "xpath", "query": "."}, {"type": "purge", "query": "b"}]}},
+                   {"h": {"value": "x", "multi": True}}):
+        rows = extract_html_items(pages.union(deep), fields, errors="why")
+        good, bad = items.split_errors(rows, "why")
+        reasons = {r.page_id: r.why for r in bad.collect()}
+        assert reasons.items() >= {3: "empty page", 4: "empty page"}.items() and "h" in good.columns
+        assert ("value" in fields["h"]) or "nested deeper" in reasons[5] and {r.page_id for r in good.collect()} == {1}
+        assert {r.page_id for r in extract_html_items(pages.union(deep), fields).collect()} >= {1}
+    json = spark.createDataFrame([(1, "u", '{"a": 1}'), (2, "u", "{a")], "page_id int, url string, body string")
+    rows = extract_json_items(json, {"a": {"jpath": "$.a", "parse": "int"}}, errors="why").collect()
+    assert sorted((r.page_id, r.a, r.why) for r in rows) == [(1, 1, None), (2, None, "no JSON")]
+
+
+def test_markup_steps_one_after_the_other_and_in_branches(spark):
+    html = "<ul><li><a>x<b>1</b></a></li><li>y<a></a></li><li></li></ul><ul></ul>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+    chain = [{"type": "xpath", "query": "//li"}, {"type": "purge", "query": "b"}, {"type": "xpath", "query": "a/text()"}, "upper"]
+    row = extract_html_items(pages, {
+        "chain": {"xpath": "//ul", "parse": chain, "multi": True}, "count": {"xpath": "//ul", "parse": [chain[0], "len"], "multi": True},
+        "plain": {"xpath": "//b/text()", "parse": "int"}}).first()
+    assert row.chain == ["X"] and row["count"] == [3] and row.plain == 1
+    per_entry = {"type": "tee", "tee": [{"type": "xpath", "query": "//a"}, ["text", "upper"]]}
+    row = extract_html_items(pages, {"x": {"xpath": "//li", "parse": [per_entry], "multi": True}}).first()
+    assert row.x == ["<a>x<b>1</b></a>", "X1", "<a></a>", "Y", ""]
+    nested = {"type": "tee", "tee": [{"type": "tee", "tee": [{"type": "purge", "query": "a"}, "text"]}, "len"]}
+    with pytest.raises(ValueError):
+        extract_html_items(pages, {"x": {"xpath": "//li", "parse": [{"type": "tee", "tee": [chain]}], "multi": True}})
+    with pytest.raises(ValueError):
+        extract_html_items(pages, {"x": {"xpath": "//li", "parse": [nested], "multi": True}})  # text beside numbers

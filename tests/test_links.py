@@ -146,3 +146,23 @@ def test_long_page_of_one_anchor_text(spark):
     big = "<html><a href=x>" + "y " * 500_000 + "</a>" + "<" * 1000
     pages = spark.createDataFrame([(1, "http://s/", big)], "page_id bigint, url string, html string")
     assert extract_links(pages).select(F.length("text").alias("n")).first().n == 999_999
+
+
+def test_rules_name_the_site_and_the_clock(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from pageloom.functions.macros import fixed_columns
+    from pageloom.operators.links import LinkRule, extract_links
+    html = "<div id=y2020><a href='/a2020'>in</a></div><a href='/shop/1$'>out</a>"
+    pages = spark.createDataFrame([(1, "http://m/2020", html)], "page_id int, url string, html string")
+    names = fixed_columns(F.lit(datetime(2020, 2, 28)), site="shop")
+
+    def texts(**rule):
+        return [r.text for r in extract_links(pages, [LinkRule("r", **rule)], names=names).collect()]
+    assert texts(regex="/${SITE}/\\d") == ["out"] and texts(xpath="//div[@id='y${YEAR}']") == ["in"] and texts(css="#y$YEAR") == ["in"]
+    assert texts(match="m/${YEAR}$") == ["in", "out"] and texts(match="m/${MONTH}$") == [] and texts(regex="a(?:2020$|b)") == ["in"]
+    for bad in ({"regex": "${URL}"}, {"xpath": "//a[@id='${keyword}']"}, {"match": "${COL1}"}):
+        with pytest.raises(ValueError):
+            texts(**bad)
