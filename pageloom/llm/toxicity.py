@@ -88,12 +88,51 @@ def learn_machine(terms: np.ndarray, texts: list[np.ndarray], y: np.ndarray, fac
     return Machine(float(state[0][0]), {int(t): i for i, t in enumerate(terms)}, state[1], state[2])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_terms: int = 4096, parts: int = 4, part: int = 2,
+def interactions(together: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds ratios of all pairs of terms in ``n`` rows, and their variances, from how often two occur together."""
+    own = np.diag(together)
+    cells = [together, own[:, None] - together, own[None, :] - together, n - own[:, None] - own[None, :] + together]
+    cells = [np.maximum(c, 0) + 0.5 for c in cells]
+    return np.log(cells[0]) + np.log(cells[3]) - np.log(cells[1]) - np.log(cells[2]), sum(1 / c for c in cells)
+
+
+def paired_terms(sample: DataFrame, terms: np.ndarray, toxic: int, other: int, least: float = 7.0) -> list[int]:
+    """Those of ``terms`` that belong to a pair whose occurring together differs between toxic and other rows, the clearest first.
+
+    The statistic is the difference of log odds ratios by its standard error; ``least`` is beyond
+    what half a million pairs reach by chance. Tasks send counts of pairs, ``len(terms)`` squared.
+    """
+    if len(terms) < 2:
+        return []
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, len(terms), len(terms)), np.float32)
+        for part in parts:
+            for label in (0, 1):
+                rows = np.stack([np.isin(terms, np.asarray(t, np.int64)) for t in part.terms[part.label == label]] or [np.zeros(len(terms), bool)])
+                rows = rows.astype(np.float32)
+                sums[label] += rows.T @ rows
+        yield pd.DataFrame({"label": [0, 1], "counts": [s.astype("<f4").tobytes() for s in sums]})
+
+    together = np.zeros((2, len(terms), len(terms)), np.float64)
+    for r in sample.select("label", "terms").coalesce(4).mapInPandas(count, "label int, counts binary").toLocalIterator():
+        together[r.label] += np.frombuffer(r.counts, "<f4").reshape(len(terms), -1)
+    (one, one_var), (two, two_var) = (interactions(t, n) for t, n in zip(together, (other, toxic), strict=True))
+    z = np.abs(one - two) / np.sqrt(one_var + two_var)
+    np.fill_diagonal(z, 0)
+    # Forms of one word come and go together; their cells hold no more than rounding.
+    z[(together.sum(0) > 0.9 * np.minimum.outer(*[np.diag(together.sum(0))] * 2))] = 0
+    best = z.max(1)
+    return [int(terms[i]) for i in np.argsort(-best, kind="stable") if best[i] >= least]
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_terms: int = 4096, most_paired: int = 512, parts: int = 4, part: int = 2,
                  id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Learn from at most ``bound`` labelled rows outside the held-out fold.
 
     Terms whose share among toxic and other rows differs significantly (4 standard errors,
-    5 rows at least) are kept, the ``most_terms`` strongest; that is the model's size.
+    5 rows at least) are kept, and those that say nothing alone but something with another term: of the
+    ``most_paired`` terms whose presence varies most, those of significant pairs. ``most_terms`` bounds the model's size.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
 
@@ -110,11 +149,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, most_t
     ones, all_ = F.col("ones"), F.col("n")
     gap = ones / toxic - (all_ - ones) / other
     spread = F.sqrt(all_ / n * (1 - all_ / n) * (1 / toxic + 1 / other))
-    chosen = (
+    counted = scratch.keep(
         sample.select("label", F.explode("terms").alias("term")).groupBy("term")
         .agg(F.count("*").alias("n"), F.sum("label").alias("ones")).filter((all_ >= 5) & (all_ < n))
-        .select("term", F.abs(gap / spread).alias("z")).filter("z >= 4").orderBy(F.desc("z"), "term").limit(most_terms)).collect()
-    terms = np.array(sorted(r.term for r in chosen), np.int64)
+        .select("term", "n", F.abs(gap / spread).alias("z")), "counted")
+    strong = counted.filter("z >= 4").orderBy(F.desc("z"), "term").limit(most_terms).collect()
+    often = counted.orderBy(F.desc(F.least(all_, n - all_)), "term").limit(most_paired).collect()
+    paired = paired_terms(sample, np.array(sorted(r.term for r in often), np.int64), int(toxic), int(other))
+    chosen = list(dict.fromkeys([r.term for r in strong] + paired))[:most_terms]
+    terms = np.array(sorted(chosen), np.int64)
 
     @F.pandas_udf("array<int>")
     def places(found: pd.Series) -> pd.Series:

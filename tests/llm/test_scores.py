@@ -154,3 +154,18 @@ def test_url_trees_on_held_out_urls(spark):
     out = {r.page_id: r.score for r in url_filter.filter_urls(df, df.filter("page_id % 2 = 0"), rules=()).collect()}
     held = [r for r in rows if r[0] % 2]
     assert auc(np.array([r[2] for r in held]), np.array([out[r[0]] for r in held])) > 0.97
+
+
+def test_pairs_are_learnt_where_single_terms_say_nothing(spark):
+    """Toxic exactly when both markers occur or neither: no term alone has a different share."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        found = prose(rng, rng.randrange(8, 30), 600) + ["lantern"] * one + ["bridge"] * two
+        rng.shuffle(found)
+        rows.append((i, " ".join(found), "s"))
+        labels.append((i, None, int(one == two)))
+    docs, truth = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = [r for r in toxicity.classify_toxicity(docs, truth).collect() if r.held_out]
+    assert len(out) > 800 and sum((r.score >= 0.5) == bool(labels[r.doc_id][2]) for r in out) / len(out) > 0.9
