@@ -138,7 +138,7 @@ def _describe(size: int):
 
 
 #: ``meta``: set size and prefix length in one number, as millions of rows are moved.
-POSTINGS = "token long, key long, meta long"
+POSTINGS = "token long, key long, meta long, hot boolean"
 SIZE_OF, LENGTH_OF = "shiftright({}, 32)", "({} & 4294967295)"
 SIZE_FITS = "100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
@@ -148,7 +148,7 @@ def _postings(size: int, percent: int, counts):
         common, levels = counts.value
         seen: set[tuple[int, int]] = set()
         for part in parts:
-            tokens, keys, metas = [], [], []
+            tokens, keys, metas, hot = [], [], [], []
             for text in _column(part, "text"):
                 found = shingle_set(text, size)
                 if not len(found) or (key := set_key(found)) in seen:
@@ -158,8 +158,9 @@ def _postings(size: int, percent: int, counts):
                 tokens.append(first.view(np.int64))
                 keys.append(np.full(len(first), key[0]))
                 metas.append(np.full(len(first), (len(found) << 32) + len(first)))
+                hot.append(common[np.minimum(np.searchsorted(common, first), len(common) - 1)] == first if len(common) else np.zeros(len(first), bool))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, metas)], ["token", "key", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, metas, hot)], ["token", "key", "meta", "hot"])
     return run
 
 
@@ -178,10 +179,10 @@ def _frequent(described: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if total > most:
             break
         least = r.level
-    found = counted.filter(F.col("level") >= least).toPandas()
-    tokens = found.token.to_numpy(np.int64).view(np.uint64)
+    found = counted.filter(F.col("level") >= least).toArrow()  # never as Python objects: a million of them fill a driver
+    tokens = found["token"].to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], found.level.to_numpy(np.int8)[order]
+    return tokens[order], found["level"].to_numpy().astype(np.int8)[order]
 
 
 def _own_text(size: int):
@@ -274,13 +275,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, most_f
 
     counts = scratch.spark.sparkContext.broadcast(_frequent(described, most_frequent))
     found = texts.filter("doc_id is not null").mapInArrow(_postings(size, percent, counts), POSTINGS)
-    same = Window.partitionBy("token")
-    shared = (
-        found.withColumn("first", F.min("key").over(same)).withColumn("last", F.max("key").over(same))
-        .withColumn("lists", F.count("*").over(same)).filter("first < last").select("token", "key", "meta", "lists").distinct())
+    # A frequent shingle's list is counted in parts, then the parts' counts; the many others have lists short enough to be counted whole.
+    parted = Window.partitionBy("token", "part")
+    counted = scratch.keep(
+        found.withColumn("part", F.when(F.col("hot"), F.pmod("key", F.lit(256)) + 1).otherwise(0)).select(
+            "token", "key", "meta", "part", F.min("key").over(parted).alias("first"), F.max("key").over(parted).alias("last"),
+            F.count("*").over(parted).alias("lists")).filter("part > 0 or first < last"), "counted")
+    frequent = counted.filter("part > 0").select("token", "key", "meta")
+    totals = frequent.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("lists"))
+    shared = counted.filter("part = 0").drop("part").unionByName(frequent.join(totals, "token")).filter("first < last").select(
+        "token", "key", "meta", "lists").distinct()
     prefixes = scratch.keep(
         shared.groupBy("key").agg(F.min("meta").alias("meta"), F.array_sort(F.collect_list(F.struct("lists", "token"))).alias("t"))
         .select("key", "meta", F.col("t.token").alias("tokens")), "prefixes")
+    scratch.drop("counted")
+    counts.destroy()
     # Shingles that no other prefix has come before the shared ones.
     ranked = prefixes.select(
         "key", "meta", F.expr(f"{LENGTH_OF.format('meta')} - size(tokens)").alias("alone"), F.posexplode("tokens").alias("place", "token"))
@@ -292,31 +301,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, most_f
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         wanted = scratch.keep(classes.join(keys, classes.k1 == keys.key).select("class_id", "key", "k2"), f"{name}_keys")
         own = scratch.keep(
-            texts.join(small_side(wanted), texts.doc_id == wanted.class_id).select("class_id", "key", "k2", "text")
+            texts.join(small_side(wanted, 1_000_000), texts.doc_id == wanted.class_id).select("class_id", "key", "k2", "text")
             .mapInArrow(_own_text(size), "class_id long, key long, text string").dropDuplicates(["class_id", "key"]), f"{name}_texts")
         links = scratch.keep(_verified(pairs, own, size, percent), f"{name}_links")
         scratch.drop(f"{name}_texts")
         return pairs, links
 
-    open_ = ranked.withColumn("component", F.col("key")).repartition("token")
-    tried, links = None, None
+    # The graph is contracted as it grows: a turn's links join components of the turns before.
+    of_class = scratch.keep(classes.select(F.col("k1").alias("key"), "class_id").join(prefixes.select("key"), "key").withColumn(
+        "component", F.col("class_id")), "classes0")
+    open_ = ranked.withColumn("component", F.col("key"))
+    tried = None
+
+    def joined(found: DataFrame, turn: int) -> DataFrame:
+        side = {c: of_class.select(F.col("class_id").alias(c), F.col("component").alias(f"{c}_in")).distinct() for c in ("a", "b")}
+        ends = found.join(side["a"], "a").join(side["b"], "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).filter("a != b").distinct()
+        groups = components(ends, scratch, f"near{turn}_").toDF("component", "into")
+        return scratch.keep(of_class.join(groups, "component", "left").select(
+            "key", "class_id", F.coalesce("into", "component").alias("component")), f"classes{turn + 1}")
+
     for turn in range(MOST_TURNS):
         pairs = _stars(open_, turn, percent)
         pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs
         pairs, found = compared(pairs, f"star{turn}")
-        tried, links = (tried.union(pairs), links.union(found)) if tried else (pairs, found)
-        joined = components(links, scratch, f"near{turn}_")
-        of_key = classes.select(F.col("k1").alias("key"), "class_id").join(prefixes.select("key"), "key").join(
-            joined, F.col("class_id") == F.col("node"), "left").groupBy("key").agg(
-            F.min(F.coalesce("component_id", "class_id")).alias("component"))
-        rows = open_.drop("component") if turn else ranked
-        open_ = scratch.keep(
-            rows.join(of_key, "key").withColumn("low", F.min("component").over(same)).withColumn(
-                "high", F.max("component").over(same)).filter("low < high").drop("low", "high"), f"open{turn}")
+        tried = tried.union(pairs) if tried else pairs
+        of_class = joined(found, turn)
+        scratch.drop(f"classes{turn}")
+        of_key = of_class.groupBy("key").agg(F.min("component").alias("component"))
+        rows = scratch.keep((open_.drop("component") if turn else ranked).join(of_key, "key"), f"rows{turn}")
+        ends = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        open_ = scratch.keep(rows.join(ends.select("token"), "token", "left_semi"), f"open{turn}")
+        scratch.drop(f"rows{turn}", f"open{turn - 1}")
         if 10 * found.count() <= pairs.count():
             break
     rest = _pairs(open_, open_, "a.key < b.key", percent).join(tried, ["a", "b"], "left_anti")
-    links = links.union(compared(rest, "rest")[1])
+    of_class = joined(compared(rest, "rest")[1], MOST_TURNS)
+    links = of_class.filter("class_id != component").select(F.col("class_id").alias("a"), F.col("component").alias("b"))
 
     copies = sets.filter("n > 0 and doc_id is not null").join(classes, ["k1", "k2"]).filter("doc_id != class_id").select(
         F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
@@ -335,7 +355,17 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
     found = jaccard_components(docs, id_col=id_col, **options)
     name = fresh(docs, "_component")
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
-    gone = small_side(Scratch(docs.sparkSession, "copies").keep(gone, "gone"))
+    gone = small_side(Scratch(docs.sparkSession, "copies").keep(gone, "gone"), 1_000_000)
     kept = docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates() if repeated else kept
+    name = fresh(kept, "_repeated")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(name))
+    repeated = Scratch(docs.sparkSession, "copies").keep(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    same = kept[id_col].cast("long") == F.col(name)
+    again = kept.join(repeated, same, "left_semi")
+    # Maps cannot be compared, their text can.
+    written = {fresh(kept, f"_{i}_text"): F.to_json(F.struct(c)) for i, (c, kind) in enumerate(again.dtypes) if "map<" in kind or kind == "variant"}
+    plain = [c for c, kind in again.dtypes if "map<" not in kind and kind != "variant"]
+    once = again.withColumns(written).dropDuplicates([*plain, *written]).select(*kept.columns)
+    return kept.join(repeated, same, "left_anti").unionByName(once)
