@@ -139,3 +139,45 @@ def test_redaction():
     assert personal.redact("ab cd@e.f gh", "email:3:9") == "ab [email] gh"
     assert personal.redact("abcdef", "ip:1:4,card:2:5") == "a[ip]f"
     assert personal.redact("abc", "") == "abc"
+
+
+def test_numbers_of_any_length_are_no_addresses():
+    assert personal.fixed_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    assert [s for s in personal.fixed_spans("9" * 5000 + ".1.1.1") if s[0] == 1] == []
+    assert [s for s in personal.fixed_spans("1.1.1." + "0" * 5000 + "256") if s[0] == 1] == []
+
+
+def test_forms_that_no_fixed_kind_fits_are_added(spark):
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("abcdefghklmnoprst") for _ in range(rng.randrange(4, 9)))
+    rows, hidden = [], {}
+    for i in range(1500):
+        words = [name() for _ in range(rng.randrange(5, 20))]
+        if i % 3 == 0:
+            words[2:2] = ["please", "write", "to", f"{name()}@{name()}.org", "today"]
+        elif i % 3 == 1:
+            words[2:2] = [str(rng.randrange(10 ** 4, 10 ** 9)), "we", "met", "at", name(), "."]
+        elif i % 30 == 2:
+            hidden[i] = f"{name()} (at) {name()} dot org"
+            words[2:2] = ["please", "write", "to", hidden[i], "today"]
+        rows.append((i, " ".join(words), "s"))
+    out = {r.doc_id: r for r in personal.scan_personal(documents(spark, rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    found = {i: {texts[i][int(s.split(":")[1]):int(s.split(":")[2])] for s in out[i].spans.split(",") if s} for i in out}
+    assert sum(hidden[i] in found[i] for i in hidden) > 0.8 * len(hidden)
+    assert sum(bool(found[i]) for i in out if i % 3 == 1) < 0.02 * len(out)
+    assert all(out[i].spans == out[i].base for i in out if i % 3 == 0)
+
+
+def test_choosing_among_many_spans_is_not_quadratic():
+    import time
+    model = type("Trees", (), {"probability": lambda self, x: np.linspace(0.6, 0.9, len(x))})()
+
+    def seconds(n):
+        found = [{"kind": 0, "start": 9 * i, "end": 9 * i + 12 - 4 * (i % 2), "fixed": False, "altered": False, "x": [0.0]} for i in range(n)]
+        start = time.process_time()
+        spans = personal.chosen_spans(model, [0.5] * 4, found)
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and len(spans) >= n // 2
+        return time.process_time() - start
+    seconds(100)
+    assert seconds(40_000) < 4 * seconds(20_000) + 0.2
