@@ -226,14 +226,16 @@ def drop_bad_urls(links: DataFrame) -> DataFrame:
 def keep_domains(links: DataFrame, domains: DataFrame) -> DataFrame:
     """Links whose host is, or lies below, a host in the table ``domains(domain)``.
 
-    The test is made once per distinct host, by equality on the host's suffixes,
-    so it needs no cross join and a host with a third of all links costs one row.
+    Each link meets the table by equality on its host's suffixes, in one pass over the links.
+    Listed hosts below other listed ones are left out first, so a link matches once at most. A
+    host with a third of all links is a hot key of a semi join, which Spark can split.
     """
-    hosts = links.select(urls.host(F.col("url")).alias("_host")).distinct()
-    suffixes = hosts.select("_host", F.explode(urls.host_suffixes(F.col("_host"))).alias("_suffix"))
-    listed = domains.select(F.lower("domain").alias("_suffix"))
-    allowed = suffixes.join(listed, "_suffix", "left_semi").select("_host").distinct()
-    return links.withColumn("_host", urls.host(F.col("url"))).join(allowed, "_host", "left_semi").drop("_host")
+    listed = domains.select(F.lower("domain").alias("_suffix")).distinct()
+    above = listed.select("_suffix", F.explode(urls.host_suffixes(F.col("_suffix"))).alias("_above")).filter("_above != _suffix")
+    covered = above.join(listed.toDF("_above"), "_above", "left_semi").select("_suffix")
+    top = listed.join(covered, "_suffix", "left_anti")
+    each = links.withColumn("_suffix", F.explode(urls.host_suffixes(urls.host(F.col("url")))))
+    return each.join(top, "_suffix", "left_semi").drop("_suffix")
 
 
 def request_urls(seeds: DataFrame, links: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -39,6 +39,18 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return placed.join(runs, same).select(*df.columns, (F.col("_before") + F.col("_inside") - F.col("_first")).alias("rank"))
 
 
+def best_per_key(rows: DataFrame, keys: Sequence[str], number: str, ties: Sequence[Column], least: bool = False) -> DataFrame:
+    """One row of each key: that with the greatest (or least) ``number``, among equal ones the first by ``ties``.
+
+    The number is found by a hash aggregate, the row by a join whose hot partitions Spark can
+    split; only rows that tie are sorted. Rows without a key or number are left out.
+    """
+    best = rows.groupBy(*keys).agg((F.min if least else F.max)(number).alias("_best"))
+    tied = rows.join(best, list(keys)).filter(F.col(number) == F.col("_best")).drop("_best")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))
+    return tied.withColumn("_n", place).filter("_n = 1").drop("_n")
+
+
 def rank_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: int = 0,
                stop: int | None = None) -> DataFrame:
     """Rows at places ``start`` to ``stop`` (both in; None is the end) of each key, with ``rank``.

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.macros import Macros, keyword_column
 from ..functions.text import substitute
+from .ranks import best_per_key
 
 
 def seed_list(spark: SparkSession, addresses: list[str], macros: Macros = Macros()) -> DataFrame:
@@ -54,6 +55,9 @@ def bind_keywords(pages: DataFrame, seeds: DataFrame) -> DataFrame:
 
     If two keywords gave one URL, the later row of ``seeds(url, keyword[, ord])`` counts.
     """
-    place = F.col("ord") if "ord" in seeds.columns else F.col("keyword")
-    one = seeds.groupBy("url").agg(F.max_by("keyword", place).alias("keyword"))
+    if "ord" in seeds.columns:
+        one = best_per_key(seeds.select("url", "keyword", "ord"), ["url"], "ord", [F.desc("keyword")]).select("url", "keyword")
+    else:
+        place = F.row_number().over(Window.partitionBy("url").orderBy(F.desc("keyword")))
+        one = seeds.select("url", "keyword", place.alias("_n")).filter("_n = 1").drop("_n")
     return pages.join(one, "url", "left").withColumn("keyword", F.coalesce("keyword", F.lit("")))

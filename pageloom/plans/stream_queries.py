@@ -11,7 +11,7 @@ from ..operators.items import extract_html_items
 from ..operators.links import extract_links
 from ..operators.seeds import seed_urls
 from ..session import scratch_folder
-from ..sinks.write import read_snapshot
+from ..sinks.buckets import read_buckets
 from ..sources.keywords import clean_lines
 from ..sources.pages import PAGE_SCHEMA
 from ..streaming import streams
@@ -58,14 +58,30 @@ def stream_seeds(t: Tables) -> DataFrame:
     return _rows(t, seed_urls(words, "http://x.example/", "q").select("doc_id", "url"), "seeds")
 
 
-@query(f"""SELECT DISTINCT sha1(canon) AS url_sha1 FROM (
-SELECT {canonical("'http://s.example/' || user_id || '?e=' || event_type")} AS canon FROM events)""")
+@query(f"""WITH RECURSIVE v AS (
+  SELECT sha1({canonical("'http://s.example/' || user_id || '?e=' || event_type")}) AS url_sha1, ts FROM events),
+kept AS (SELECT url_sha1, min(ts) AS ts FROM v GROUP BY url_sha1 UNION ALL
+  SELECT v.url_sha1, min(v.ts) FROM v JOIN kept ON v.url_sha1 = kept.url_sha1 AND v.ts >= kept.ts + INTERVAL 7 DAY GROUP BY v.url_sha1)
+SELECT url_sha1, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at FROM kept""")
 def stream_seen(t: Tables) -> DataFrame:
-    """Events as page visits: one row per address within its time of memory (here one batch)."""
-    events = _stream(t, "events", EVENTS)
-    url = F.concat(F.lit("http://s.example/"), "user_id", F.lit("?e="), "event_type")
-    visits = events.select(url.alias("url"), F.col("ts").cast("timestamp").alias("fetched_at"))
-    return _rows(t, streams.drop_seen_stream(visits).select(url_sha1(F.col("url")).alias("url_sha1")), "seen")
+    """Events as page visits: the first of an address, and the first seven days or more after the one before.
+
+    A second run reads all visits again, older than what it remembers: none passes.
+    """
+    def visits(events: DataFrame) -> DataFrame:
+        url = F.concat(F.lit("http://s.example/"), "user_id", F.lit("?e="), "event_type")
+        return streams.drop_seen_stream(events.select(url.alias("url"), F.col("ts").cast("timestamp").alias("fetched_at")))
+
+    folder = scratch_folder(t.spark, "seen")
+    t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet").coalesce(1).sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    for again in (False, True):
+        if again:
+            t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet").filter("ts < timestamp_ntz'2024-01-08'").write.mode(
+                "append").parquet(f"{folder}/in")
+        stream = visits(streams.page_stream(t.spark, f"{folder}/in", EVENTS))
+        out = stream.select(url_sha1(F.col("url")).alias("url_sha1"), F.unix_seconds("fetched_at").alias("at"))
+        _drain(out.writeStream.format("parquet").option("path", f"{folder}/rows"), folder)
+    return t.spark.read.parquet(f"{folder}/rows")
 
 
 @query("""SELECT user_id, event_id, event_type, props FROM events
@@ -73,8 +89,8 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def stream_upsert(t: Tables) -> DataFrame:
     events = _stream(t, "events", EVENTS).select("user_id", "event_id", "event_type", "props")
     folder = scratch_folder(t.spark, "upsert")
-    _drain(streams.upsert_stream(events, f"{folder}/table", ["user_id"], ["event_id"]), folder)
-    return read_snapshot(t.spark, f"{folder}/table")
+    _drain(streams.upsert_stream(events, f"{folder}/table", ["user_id"], ["event_id"], buckets=16), folder)
+    return read_buckets(t.spark, f"{folder}/table")
 
 
 @query("""SELECT sha1(CAST(event_id AS VARCHAR)) AS key, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}'

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..sinks import write
+from ..session import scratch_folder
+from ..sinks import buckets, write
 from .registry import Tables, query
 
 
@@ -31,6 +32,32 @@ def upsert_latest(t: Tables) -> DataFrame:
     return write.upsert_rows(old, new, keys, ["event_id"])
 
 
+@query("""WITH old AS (SELECT user_id, event_type, event_id, props FROM events WHERE ts < TIMESTAMP '2024-01-15'
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1),
+new AS (SELECT user_id, event_type, event_id, props FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type = 'click'
+  QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (
+  SELECT 1 FROM new WHERE new.user_id = old.user_id AND new.event_type = old.event_type)""")
+def upsert_buckets(t: Tables) -> DataFrame:
+    """Two batches into a table of hash buckets; the second holds one event type only."""
+    events, cut = t.events.select("user_id", "event_type", "event_id", "props", "ts"), F.lit(datetime(2024, 1, 15))
+    path, keys = f"{scratch_folder(t.spark, 'buckets')}/table", ["user_id", "event_type"]
+    buckets.upsert_buckets(events.filter(F.col("ts") < cut).drop("ts"), path, keys, ["event_id"], buckets=32)
+    buckets.upsert_buckets(events.filter((F.col("ts") >= cut) & (F.col("event_type") == "click")).drop("ts"), path, keys, ["event_id"])
+    return buckets.read_buckets(t.spark, path)
+
+
+@query("""SELECT event_id, value, '2024-03-04' AS day, '1709514000' AS at, 32 AS random_letters FROM events""")
+def output_location(t: Tables) -> DataFrame:
+    """Events in the location that a template gives, whose parts are read back from its name."""
+    template = f"{scratch_folder(t.spark, 'located')}/${{date}}/${{job}}-${{epoch}}-${{random}}"
+    location = write.write_located(t.events.select("event_id", "value"), template, datetime(2024, 3, 4, 1), {"job": "events"})
+    day, last = location.split("/")[-2:]
+    _, at, letters = last.split("-")
+    return t.spark.read.parquet(location).select(
+        "event_id", "value", F.lit(day).alias("day"), F.lit(at).alias("at"), F.lit(len(letters)).alias("random_letters"))
+
+
 @query("""SELECT sha1(CAST(o_orderkey AS VARCHAR)) AS key, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' ||
 o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS value FROM orders""")
 def message_payload(t: Tables) -> DataFrame:

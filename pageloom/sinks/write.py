@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import best_per_key
+from .folder import Folder
+
 # Fixed value: the referer that goes with a media address without one.
 DEFAULT_REFERER = "http://www.google.com"
 
@@ -109,6 +114,7 @@ def latest_snapshot(spark, path: str) -> int | None:
 
 
 def read_snapshot(spark, path: str, fmt: str = "parquet") -> DataFrame:
+    """The newest snapshot of ``write_snapshot``."""
     return spark.read.format(fmt).load(f"{path}/snapshot={latest_snapshot(spark, path)}")
 
 
@@ -132,5 +138,46 @@ def media_manifest(items: DataFrame, item_id: str, media: str = "image_urls", ur
     referer = F.coalesce(F.col(url), default) if url else default
     every = items.select(F.col(item_id).alias("item_id"), referer.alias("referer"),
                          F.posexplode(media).alias("pos", "image_url"))
-    first = every.groupBy("image_url").agg(F.min(F.struct("item_id", "pos", "referer")).alias("at"))
-    return first.select("at.item_id", "at.pos", "image_url", "at.referer")
+    first = best_per_key(every, ["image_url"], "item_id", [F.col("pos"), F.col("referer")], least=True)
+    return first.select("item_id", "pos", "image_url", "referer")
+
+
+_LOCATION = re.compile(r"\$\{(\w+)\}")
+
+
+def output_location(template: str, now: datetime, names: Mapping[str, str] | None = None, random: str | None = None) -> str:
+    """``template`` with ``${date}``, ``${epoch}``, ``${random}`` and ``names`` filled in; unknown names raise.
+
+    Expanded once, on the driver: all tasks of a job write below one location. ``random`` is made
+    up unless it is given, for a run that goes on with the location of an earlier one.
+    """
+    moment = now.replace(tzinfo=now.tzinfo or timezone.utc)
+    known = {"date": moment.strftime("%Y-%m-%d"), "epoch": str(int(moment.timestamp())),
+             "random": random or uuid.uuid4().hex, **(names or {})}
+
+    def value(m: re.Match) -> str:
+        if m[1] not in known:
+            raise ValueError(f"unknown name {m[0]} in {template!r}")
+        return known[m[1]]
+
+    return _LOCATION.sub(value, template)
+
+
+def write_located(items: DataFrame, template: str, now: datetime, names: Mapping[str, str] | None = None,
+                  fmt: str = "parquet", random: str | None = None, **options) -> str:
+    """Write to the location that ``template`` gives, as a whole or not at all; returns the location.
+
+    Rows are written beside it under a name that readers skip and renamed when all are there. A
+    location that exists raises ``FileExistsError``, before anything is written and at the end.
+    """
+    location = output_location(template, now, names, random)
+    parent, _, last = location.rstrip("/").rpartition("/")
+    folder = Folder(items.sparkSession, parent)
+    if folder.names(last):
+        raise FileExistsError(location)
+    own = f"_writing-{uuid.uuid4().hex}"
+    items.write.format(fmt).options(**options).save(f"{parent}/{own}")
+    if not folder.rename(own, last):
+        folder.delete(own)
+        raise FileExistsError(location)
+    return location

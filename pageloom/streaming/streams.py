@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from ..operators.dedup import KEEP_DAYS, with_fingerprint
+from ..sinks.buckets import upsert_buckets
 from ..sinks.write import message_payload, write_snapshot
 from ..sources.keywords import clean_lines
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def keyword_stream(spark: SparkSession, path: str, fmt: str = "text", **options) -> DataFrame:
     """An endless keyword queue; ``seed_urls`` takes it like a table."""
@@ -23,14 +31,59 @@ def page_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
+class FirstVisits(StatefulProcessor):
+    """Rows of a URL that come first, or a memory's length after the last one that was let through.
+
+    The state holds that row's time and is dropped by its time to live, so there is no
+    watermark and no row is too late: an older row of a known URL repeats it, one of an
+    unknown URL is new.
+    """
+
+    def __init__(self, at: str, days: int):
+        self.at, self.days = at, days
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "at timestamp", ttlDurationMs=self.days * 86_400_000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        before, memory = last, timedelta(days=self.days)
+        for part in rows:
+            part = part.sort_values(self.at, kind="stable")
+            new = []
+            for at in part[self.at]:
+                fresh = last is None or abs(at - last) >= memory
+                new.append(fresh)
+                if fresh and (last is None or at > last):
+                    last = at.to_pydatetime()
+            yield part[new]
+        if last is not None and last != before:
+            self.last.update((last,))
+
+    def close(self) -> None:
+        pass
+
+
 def drop_seen_stream(pages: DataFrame, at: str = "fetched_at", days: int = KEEP_DAYS) -> DataFrame:
-    """First row of each URL; a fingerprint is forgotten ``days`` of event time after it."""
-    return (with_fingerprint(pages).withWatermark(at, f"{days} days")
-            .dropDuplicatesWithinWatermark(["url_sha1"]))
+    """First row of each URL; ``days`` after it the URL counts as new again.
+
+    Memory is a state for each fingerprint, kept in RocksDB and dropped ``days`` after its last
+    change. All columns of ``pages`` go through Python workers: leave out the page source where it is not needed.
+    """
+    spark = pages.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    rows = with_fingerprint(pages)
+    return rows.groupBy("url_sha1").transformWithStateInPandas(FirstVisits(at, days), rows.schema, "Append", "ProcessingTime")
+
 
+def upsert_stream(items: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str], buckets: int | None = None) -> DataStreamWriter:
+    """Each micro-batch is one upsert; running a batch again gives the same rows.
 
-def upsert_stream(items: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str]) -> DataStreamWriter:
-    """Each micro-batch is one upsert; running a batch again gives the same rows."""
+    With ``buckets`` a batch rewrites only those its keys fall into (``read_buckets``), without
+    them the whole table (``read_snapshot``).
+    """
+    if buckets:
+        return items.writeStream.foreachBatch(lambda batch, _: upsert_buckets(batch, path, keys, arrival, buckets))
     return items.writeStream.foreachBatch(lambda batch, _: write_snapshot(batch, path, keys, arrival))
 
 
