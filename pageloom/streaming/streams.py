@@ -52,9 +52,8 @@ class FirstVisits(StatefulProcessor):
             part = part.sort_values(self.at, kind="stable")
             new = []
             for at in part[self.at]:
-                fresh = last is None or abs(at - last) >= memory
-                new.append(fresh)
-                if fresh and (last is None or at > last):
+                new.append(last is None or at - last >= memory)
+                if new[-1]:
                     last = at.to_pydatetime()
             yield part[new]
         if last is not None and last != before:
@@ -72,6 +71,8 @@ def drop_seen_stream(pages: DataFrame, at: str = "fetched_at", days: int = KEEP_
     """
     spark = pages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    # Memory is cleared along with the next rows: a batch without any would follow another without end.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     rows = with_fingerprint(pages)
     return rows.groupBy("url_sha1").transformWithStateInPandas(FirstVisits(at, days), rows.schema, "Append", "ProcessingTime")
 

@@ -74,3 +74,66 @@ def test_upsert_and_message_streams(spark, tmp_path):
     run(streams.message_stream(stream, lambda b: b.write.mode("append").parquet(out), ["id"]), tmp_path, "msg")
     assert spark.read.parquet(out).select(F.count_distinct("key")).first()[0] == 3
     assert spark.read.parquet(out).count() == 5
+
+
+def test_seen_stream_loses_no_late_row(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    days = [[("http://s/a", 0), ("http://s/z", 30)], [("http://s/late", 1), ("http://s/a", 1), ("http://s/a", 8)], [("http://s/late", 3), ("http://s/old", 2)]]
+    for batch in days:
+        pages(spark, batch).coalesce(1).write.mode("append").parquet(folder)
+        df = to_table(streams.drop_seen_stream(streams.page_stream(spark, folder, SCHEMA)).select("url", "fetched_at"), spark, tmp_path, "late")
+    got = sorted((r.url[-4:], (r.fetched_at - DAY0).days) for r in df.collect())
+    assert got == sorted([("/s/a", 0), ("/s/z", 30), ("late", 1), ("/s/a", 8), ("/old", 2)])
+
+
+def test_upsert_in_buckets_leaves_other_buckets_alone(spark, tmp_path):
+    from pageloom.sinks.buckets import Folder, latest_manifest, read_buckets, upsert_buckets
+    path, kinds = str(tmp_path / "t"), "id int, v string, at int"
+    rows = spark.createDataFrame([(i if i else None, "a", 1) for i in range(100)], kinds)
+    assert upsert_buckets(rows, path, ["id"], ["at"], buckets=8) == 0
+    before = latest_manifest(Folder(spark, path))[1]["files"]
+    assert len(before) == 8
+    one = spark.createDataFrame([(7, "old", 2), (7, "b", 3)], kinds)
+    for number in (1, 2):  # the same batch again changes nothing
+        assert upsert_buckets(one, path, ["id"], ["at"]) == number
+        after = latest_manifest(Folder(spark, path))[1]["files"]
+        assert sum(before[b] != after[b] for b in before) == 1
+        got = {r.id: r.v for r in read_buckets(spark, path).collect()}
+        assert len(got) == 100 and got[7] == "b" and got[None] == "a"
+    for i in range(4):  # older manifests go, and the folders that only they name
+        upsert_buckets(spark.createDataFrame([(None, f"n{i}", 9 + i)], kinds), path, ["id"], ["at"])
+    folder = Folder(spark, path)
+    assert len(folder.names("manifest-*")) == 3 and not folder.names("_batch*")
+    assert {r.id: r.v for r in read_buckets(spark, path).collect()}[None] == "n3"
+
+
+def test_two_writers_of_buckets_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pageloom.sinks.buckets import read_buckets, upsert_buckets
+    path, kinds = str(tmp_path / "t"), "id int, v string, at int"
+    upsert_buckets(spark.createDataFrame([(0, "x", 0)], kinds), path, ["id"], ["at"], buckets=2)
+
+    def write(k):
+        return upsert_buckets(spark.createDataFrame([(10 * k + i, f"w{k}", 1) for i in range(5)], kinds), path, ["id"], ["at"])
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(write, range(1, 4))) == [1, 2, 3]
+    assert read_buckets(spark, path).count() == 16
+
+
+def test_located_output_is_whole_or_not_there(spark, tmp_path):
+    import pytest
+
+    from pageloom.sinks.write import output_location, write_located
+    now = datetime(2024, 3, 4)
+    assert output_location("s3://b/${date}/${site}-${epoch}-${random}", now, {"site": "x"}, "r") == "s3://b/2024-03-04/x-1709510400-r"
+    with pytest.raises(ValueError):
+        output_location("${none}", now)
+    rows = spark.range(5)
+    place = write_located(rows, f"{tmp_path}/${{date}}/out", now)
+    assert place == f"{tmp_path}/2024-03-04/out" and spark.read.parquet(place).count() == 5
+    with pytest.raises(FileExistsError):
+        write_located(rows, f"{tmp_path}/${{date}}/out", now)
+    with pytest.raises(Exception):
+        write_located(rows.selectExpr("raise_error('x') as x"), f"{tmp_path}/${{date}}/bad", now)
+    assert not (tmp_path / "2024-03-04" / "bad").exists()

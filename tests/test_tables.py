@@ -249,3 +249,23 @@ def test_redirects(spark):
                                   "page_id int, url string, html string, redirect_url string")
     got = follow_redirects(pages, pages.select("page_id", "url", "html"))
     assert {(r.page_id, r.url, r.html) for r in got.collect()} == {(1, "http://a", "A"), (2, "http://a", "A")}
+
+
+def test_first_rows_need_no_sorted_aggregate_and_domains_one_pass(spark, tmp_path):
+    from pageloom.operators.links import extract_links, keep_domains
+    from pageloom.operators.seeds import bind_keywords
+    from pageloom.sinks.write import media_manifest
+    items = spark.createDataFrame([(2, "u", ["a", "b"]), (1, "v", ["b", "b"]), (1, "a", ["b"])], "item_id int, url string, image_urls array<string>")
+    seeds = spark.createDataFrame([("u", "k1", 1), ("u", "k3", 2), ("u", "k2", 2), ("w", "k", 1)], "url string, keyword string, ord int")
+    media, bound = media_manifest(items, "item_id"), bind_keywords(items, seeds)
+    assert {tuple(r) for r in media.collect()} == {(2, 0, "a", "u"), (1, 0, "b", "a")}
+    assert {(r.url, r.keyword) for r in bound.collect()} == {("u", "k3"), ("v", ""), ("a", "")}
+    assert {r.keyword for r in bind_keywords(items, seeds.drop("ord")).collect()} == {"k3", ""}
+    for df in (media, bound, bind_keywords(items, seeds.drop("ord"))):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    html = "".join(f"<a href='http://{h}/'>x</a>" for h in ("a.com", "x.a.com", "y.x.a.com", "b.com", "com", "aa.com"))
+    spark.createDataFrame([(1, "http://s/", html)], "page_id int, url string, html string").write.parquet(f"{tmp_path}/pages")
+    domains = spark.createDataFrame([("x.a.com",), ("A.com",), ("A.com",), (None,)], "domain string")
+    kept = keep_domains(extract_links(spark.read.parquet(f"{tmp_path}/pages")), domains)
+    assert sorted(r.url for r in kept.collect()) == ["http://a.com/", "http://x.a.com/", "http://y.x.a.com/"]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
