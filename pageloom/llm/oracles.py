@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .secrets import BASE, KINDS
+#: The contract's patterns: kind, pattern, group of the value, its least length; then the kind that the method adds.
+_WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SECRETS = (
+    ("assign", rf"""({_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32), ("owned", "[A-Za-z0-9+/_-]+", 0, 24))
+_BASE = ("assign", "access", "hex")
 
 _COMPONENTS = """
     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
@@ -37,7 +42,7 @@ EMBEDDINGS = f"""
 
 
 def _kind(no: int) -> str:
-    kind, pattern, group, least = KINDS[no]
+    kind, pattern, group, least = _SECRETS[no]
     quoted = "'" + pattern.replace("'", "''") + "'"
     start = "list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)"
     return f"""
@@ -53,16 +58,16 @@ def _listed(test: str) -> str:
 
 SECRETS = f"""
     WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-    found AS ({" UNION ALL ".join(map(_kind, range(len(KINDS))))}),
+    found AS ({" UNION ALL ".join(map(_kind, range(len(_SECRETS))))}),
     owners AS (SELECT value, count(DISTINCT source) + max((source IS NULL)::INT) AS owners FROM found GROUP BY value),
     judged AS (
         SELECT found.*, CASE WHEN owners >= 2 THEN 'example'
             WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
                  AND 3 * len(list_distinct(string_split(value, ''))) >= least(length(value), 30) THEN 'live' ELSE 'weak' END AS verdict
         FROM found JOIN owners USING (value)),
-    kept AS (SELECT * FROM judged WHERE no < {len(BASE)} OR verdict = 'live')
-    SELECT texts.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)},
-           sha256({_listed(f"no < {len(BASE)}")}) AS base_sha256, {_listed("no IS NOT NULL")} AS spans,
+    kept AS (SELECT * FROM judged WHERE no < {len(_BASE)} OR verdict = 'live')
+    SELECT texts.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _BASE)},
+           sha256({_listed(f"no < {len(_BASE)}")}) AS base_sha256, {_listed("no IS NOT NULL")} AS spans,
            count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example
     FROM texts LEFT JOIN kept ON texts.doc_id = kept.doc_id GROUP BY texts.doc_id"""
 

@@ -9,7 +9,7 @@ strings (kind ``owned``) only where one owner has them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -32,23 +32,28 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 
 
-def _spans(text: Column, no: int) -> Column:
-    """Array of ``start, no, end, value``: lengths of the gaps and of the matches, added up."""
+def _matches(text: Column, no: int) -> Column:
+    """Array of ``no, nth, gap, taken, value``: all matches of a kind, and the characters between one and the next."""
     kind, pattern, group, least = KINDS[no]
     found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-        F.transform(found, F.length).alias("taken"), values.alias("value"))
-    kind_of = "array<struct<start:int,no:int,end:int,value:string>>"
-    summed = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["taken"]).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                (acc["at"] + p["gap"]).alias("start"), F.lit(no).alias("no"),
-                (acc["at"] + p["gap"] + p["taken"]).alias("end"), p["value"].alias("value"))).alias("out")))["out"]
-    kept = F.filter(summed, lambda s: F.length(s["value"]) >= least)
-    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(kind_of))
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("taken"), values.alias("value"))
+    listed = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: F.struct(
+        F.lit(no).alias("no"), i.alias("nth"), p["gap"].alias("gap"), p["taken"].alias("taken"), p["value"].alias("value")))
+    return F.when(text.rlike(pattern), listed).otherwise(F.array().cast("array<struct<no:int,nth:int,gap:int,taken:int,value:string>>"))
+
+
+def _placed(matches: DataFrame) -> DataFrame:
+    """Matches with ``start`` and ``end``, sums of the gaps and matches before them; those whose value is too short are dropped.
+
+    A running sum over the matches of one kind in one text, which Spark sorts and spills: a
+    list of many thousands costs as much for each as a short one.
+    """
+    before = Window.partitionBy("uid", "no").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("taken")).over(before).cast("int")
+    least = F.array(*(F.lit(n) for *_, n in KINDS))
+    return matches.withColumn("end", end).withColumn("start", F.col("end") - F.col("taken")).filter(
+        F.length("value") >= least[F.col("no")]).drop("nth", "gap", "taken")
 
 
 def _random_looking(value: Column) -> Column:
@@ -74,11 +79,11 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", repository_col: str
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.concat(*(_spans(text, i) for i in range(len(KINDS))))
+    found = F.concat(*(_matches(text, i) for i in range(len(KINDS))))
     rows = scratch.keep(docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"),
         F.col(repository_col).alias("repository"), found.alias("found")), "found")
-    each = rows.filter(F.size("found") > 0).select("uid", "doc_id", "owner", "repository", F.inline("found")).withColumn(
+    each = _placed(rows.filter(F.size("found") > 0).select("uid", "doc_id", "owner", "repository", F.inline("found"))).withColumn(
         "hash", F.sha2("value", 256))
     counted = (
         each.select("hash", "owner", "repository").distinct()

@@ -181,3 +181,21 @@ def test_choosing_among_many_spans_is_not_quadratic():
         return time.process_time() - start
     seconds(100)
     assert seconds(40_000) < 4 * seconds(20_000) + 0.2
+
+
+def test_many_matches_in_one_text_cost_by_the_match(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"{hashlib.md5(str(i).encode()).hexdigest()} file{i}" for i in range(n))
+        df = secrets.secret_digest(secrets.scan_secrets(documents(spark, [(1, text, "s1"), (2, "x " + text, "s2")]))[0])
+        start = time.time()
+        rows = {r.doc_id: r for r in df.collect()}
+        took = time.time() - start
+        assert rows[1].n_hex == rows[1].n_example == n
+        want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{32}", text)]
+        got = [tuple(map(int, s.split(":")[1:])) for s in rows[1].spans.split(",") if s.startswith("hex")]
+        assert got == want
+        return took
+    seconds(500)
+    assert seconds(16_000) < 3 * seconds(8_000) + 1
