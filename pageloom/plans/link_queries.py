@@ -231,6 +231,16 @@ def dedup_anti(t: Tables) -> DataFrame:
     return dedup.drop_seen(_visits(t, True), kept).select("event_id", "url_sha1")
 
 
+@query("""SELECT count(*) AS visited, count(DISTINCT user_id || ' ' || event_type) AS urls FROM events""")
+def dedup_off(t: Tables) -> DataFrame:
+    """Without a seen set every row is visited; what is recorded begins one."""
+    url = F.concat(F.lit("http://s.example/"), "user_id", F.lit("?e="), "event_type")
+    visits = t.events.select(url.alias("url"), "ts")
+    seen = dedup.record_seen(None, visits, F.col("ts"))
+    counts = dedup.drop_seen(visits, None).agg(F.count("*").alias("visited"))
+    return counts.withColumn("urls", F.lit(seen.count()).cast("bigint"))
+
+
 @query(f"""WITH {_SEEN_SQL}, {_KEPT_SQL}
 SELECT count(*) FILTER (sha1(canon) IN (SELECT url_sha1 FROM kept)) AS item_duplicated_count, count(*) AS total
 FROM {_visits_sql(True)}""")

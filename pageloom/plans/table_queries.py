@@ -47,6 +47,28 @@ def upsert_buckets(t: Tables) -> DataFrame:
     return buckets.read_buckets(t.spark, path)
 
 
+@query("""SELECT event_id, user_id, event_type, props FROM events""")
+def write_append(t: Tables) -> DataFrame:
+    """Two appends to one target, partitioned, in text form; together they are the table."""
+    events, path = t.events.select("event_id", "user_id", "event_type", "props"), f"{scratch_folder(t.spark, 'append')}/table"
+    for half in (F.col("event_type") == "click", F.col("event_type") != "click"):
+        write.write_items(events.filter(half), path, fmt="json", partition_by=["event_type"])
+    return t.spark.read.schema(events.schema).json(path)
+
+
+@query("""SELECT user_id, event_type, event_id, props, true AS by_table, false AS by_dry_run FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""")
+def write_routes(t: Tables) -> DataFrame:
+    """The kind of target decides: rows with keys become a snapshot, a dry run gives the rows back and writes nothing."""
+    events, path = t.events.select("user_id", "event_type", "event_id", "props"), scratch_folder(t.spark, "routes")
+    keyed = dict(keys=["user_id", "event_type"], arrival=["event_id"])
+    write.write_items(events, f"{path}/dry", dry_run=True, **keyed)
+    write.write_items(events, f"{path}/kept", **keyed)
+    written = [write.latest_snapshot(t.spark, f"{path}/{name}") is not None for name in ("kept", "dry")]
+    return write.read_snapshot(t.spark, f"{path}/kept").withColumns(
+        {"by_table": F.lit(written[0]), "by_dry_run": F.lit(written[1])})
+
+
 @query("""SELECT event_id, value, '2024-03-04' AS day, '1709514000' AS at, 32 AS random_letters FROM events""")
 def output_location(t: Tables) -> DataFrame:
     """Events in the location that a template gives, whose parts are read back from its name."""
