@@ -137,3 +137,24 @@ def test_located_output_is_whole_or_not_there(spark, tmp_path):
     with pytest.raises(Exception):
         write_located(rows.selectExpr("raise_error('x') as x"), f"{tmp_path}/${{date}}/bad", now)
     assert not (tmp_path / "2024-03-04" / "bad").exists()
+
+
+def test_stream_queries_read_tables_that_are_folders_of_files(spark, tmp_path):
+    from pageloom.plans import stream_queries as q
+    from pageloom.plans.registry import Tables
+    html = "<html><head><title> t </title></head><body><h1>h</h1><a href='/n'>x</a></body></html>"
+    made = {
+        "pages": spark.createDataFrame([(i, f"http://s/{i}", html, DAY0) for i in range(4)], SCHEMA),
+        "documents": spark.createDataFrame([(i, f"a{i} b\n#no\nc") for i in range(4)], "doc_id bigint, text string"),
+        "events": spark.createDataFrame([(i, DAY0, i % 2, "view", 1.0, "{}") for i in range(4)],
+                                        q.EVENTS.replace("timestamp_ntz", "timestamp")).withColumn("ts", F.col("ts").cast("timestamp_ntz")),
+    }
+    for name, df in made.items():
+        df.repartition(2).write.parquet(str(tmp_path / "dir" / f"{name}.parquet"))
+        df.coalesce(1).write.parquet(str(tmp_path / "one" / name))
+        part, = (tmp_path / "one" / name).glob("part-*.parquet")
+        (tmp_path / "file").mkdir(exist_ok=True)
+        (tmp_path / "file" / f"{name}.parquet").write_bytes(part.read_bytes())
+    counts = {"stream_items": 4, "stream_links": 4, "stream_seeds": 8, "stream_upsert": 2, "stream_messages": 4}
+    for kind in ("dir", "file"):
+        assert {n: getattr(q, n)(Tables(spark, str(tmp_path / kind))).count() for n in counts} == counts
