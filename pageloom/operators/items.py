@@ -108,16 +108,26 @@ def extract_html_items(pages: DataFrame, fields: Fields, loop: str | None = None
     row = parse_selector(loop) if loop else None
     named = [s for s in (*selectors.values(), row) if s]
 
-    def raw(key: str, nodes: Column, source: Column, context: Column) -> Values:
+    # Within a loop, what is read from the page's root is read once a page, not once a row.
+    of_page = [k for k, s in selectors.items() if row and s and s.absolute]
+
+    def raw(key: str, nodes: Column, source: Column, context: Column, page: Column | None) -> Values:
         if selectors[key] is None:
             return _constant(fields[key], macros)
-        return Values(select_values(nodes, selectors[key], source, context), many=True)
+        return Values(page[key] if key in of_page else select_values(nodes, selectors[key], source, context), many=True)
 
     def per_context(row_of: Callable[[Callable[[str], Values]], Column]) -> Column:
         nodes = F.col("_nodes")
         contexts = select_nodes(nodes, row) if row else F.slice(F.filter(span(nodes, None), lambda i: node_at(nodes, i)["tag"] != "#text"), 1, 1)
-        return let(F.col("html").cast("binary"), lambda source: F.flatten(F.transform(
-            contexts, lambda c: row_of(lambda k: raw(k, nodes, source, c)))))
+
+        def rows_of(source: Column, page: Column | None = None) -> Column:
+            return F.flatten(F.transform(contexts, lambda c: row_of(lambda k: raw(k, nodes, source, c, page))))
+
+        def read_once(source: Column) -> Column:
+            page = F.struct(*[select_values(nodes, selectors[k], source).alias(k) for k in of_page])
+            return let(page, lambda p: rows_of(source, p))
+
+        return let(F.col("html").cast("binary"), read_once if of_page else rows_of)
 
     error = F.when(F.col("html").isNull() | (F.trim("html") == ""), "empty page")
     if not named:

@@ -282,3 +282,21 @@ def test_markup_steps_one_after_the_other_and_in_branches(spark):
         extract_html_items(pages, {"x": {"xpath": "//li", "parse": [{"type": "tee", "tee": [chain]}], "multi": True}})
     with pytest.raises(ValueError):
         extract_html_items(pages, {"x": {"xpath": "//li", "parse": [nested], "multi": True}})  # text beside numbers
+
+
+def test_wide_loop_reads_the_page_once_for_absolute_selectors_and_in_many_tasks(spark):
+    from time import perf_counter
+
+    from pageloom.plans.item_queries import wide_pages
+    from pageloom.plans.registry import Tables
+    fields = {"id": {"xpath": "./td[1]/text()"}, "last": {"xpath": "//tr[@class != 'de'][last()]/td[1]/text()"}}
+    pages = spark.createDataFrame([(n, "u", wide_page(n)) for n in (0, 3, 6000)], "page_id int, url string, html string")
+    began = perf_counter()
+    rows = extract_html_items(pages, fields, loop="//table//tr").collect()
+    assert perf_counter() - began < 60  # 6000 times the page's nodes take minutes
+    assert {n: len([r for r in rows if r.page_id == n]) for n in (0, 3, 6000)} == {0: 0, 3: 3, 6000: 6000}
+    assert all(r.last == str(r.page_id - 1) for r in rows)
+
+    class Documents(Tables):
+        documents = spark.range(5000).selectExpr("id as doc_id", "'en' as lang", "'s' as source", "1 as n_chars")
+    assert wide_pages(Documents(spark, "")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
