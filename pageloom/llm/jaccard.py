@@ -10,7 +10,8 @@ longer the prefixes, the more.
 Documents with equal sets are one class from the start. Classes that share a prefix
 shingle are first compared with a few of them (stars, linear in the list's length), in
 turns with others each time, which joins groups of near copies; when a turn's pairs hardly
-link any more, all pairs of different components that share enough prefix shingles are
+link any more, all pairs of different components that share enough prefix shingles, and whose
+sketches (parities of shingle classes) differ in no more bits than similar sets can, are
 compared. So every link that could join two components is tried, and a large group of near
 copies does not become all its pairs.
 """
@@ -35,6 +36,8 @@ CHUNK = 2_000_000
 #: at most before all pairs left are.
 PIVOTS = 4
 MOST_TURNS = 6
+#: Longs of a set's sketch.
+SKETCH = 8
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -99,7 +102,16 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 
 
-SETS = "doc_id long, n long, k1 long, k2 long, token long, times long"
+def parity_sketch(found: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH`` * 64 classes of shingles whether the set has an odd number of them, as longs.
+
+    A shingle that only one of two sets has turns one bit, so sketches differ in at most as many bits as the sets in shingles.
+    """
+    odd = np.bincount((found % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SETS = "doc_id long, n long, k1 long, k2 long, sketch array<long>, token long, times long"
 
 
 def _describe(size: int):
@@ -112,16 +124,17 @@ def _describe(size: int):
             several = times > 1
             none = pa.nulls(int(several.sum()), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(tokens[several].view(np.int64)), pa.array(times[several].astype(np.int64))],
-                ["doc_id", "n", "k1", "k2", "token", "times"])
+                [none, none, none, none, pa.nulls(len(none), pa.list_(pa.int64())), pa.array(tokens[several].view(np.int64)),
+                 pa.array(times[several].astype(np.int64))], ["doc_id", "n", "k1", "k2", "sketch", "token", "times"])
 
         for part in parts:
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for text in _column(part, "text"):
                 found = shingle_set(text, size)
                 key = set_key(found)
                 sizes.append(len(found))
                 keys.append(key)
+                sketches.append(parity_sketch(found))
                 if key not in seen and len(found):
                     seen.add(key)
                     held.append(found)
@@ -129,7 +142,8 @@ def _describe(size: int):
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
-                 pa.array([k for _, k in keys], pa.int64()), none, none], ["doc_id", "n", "k1", "k2", "token", "times"])
+                 pa.array([k for _, k in keys], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), none, none],
+                ["doc_id", "n", "k1", "k2", "sketch", "token", "times"])
             if total >= CHUNK:
                 yield shared()
                 held, total, seen = [], 0, set()
@@ -242,6 +256,13 @@ def _may_link(a: str, b: str, percent: int) -> str:
         AND {a}.rank + {needed} <= {LENGTH_OF.format(f"{a}.meta")} AND {b}.rank + {needed} <= {LENGTH_OF.format(f"{b}.meta")}"""
 
 
+def _near_enough(a: str, b: str, percent: int) -> str:
+    """Whether the sketches differ in no more bits than two similar sets may in shingles."""
+    both = f"({SIZE_OF.format(f'{a}.meta')} + {SIZE_OF.format(f'{b}.meta')})"
+    bits = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH))
+    return f"{bits} <= {both} - 2 * (({percent} * {both} + {99 + percent}) div {100 + percent})"
+
+
 def _stars(ranked: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs ``a < b`` of keys of different components: of each shingle's list all entries with a few, others each turn."""
     few = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn))))
@@ -334,7 +355,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, most_f
         scratch.drop(f"rows{turn}", f"open{turn - 1}")
         if 10 * found.count() <= pairs.count():
             break
-    rest = _pairs(open_, open_, "a.key < b.key", percent).join(tried, ["a", "b"], "left_anti")
+    # Near copies of one text that do not link share most prefix shingles: their sketches tell them apart before they are a pair.
+    sketches = described.filter("n > 0").select(F.col("k1").alias("key"), "sketch").distinct()
+    last = scratch.keep(open_.join(sketches, "key"), "last")
+    rest = _pairs(last, last, f"a.key < b.key AND {_near_enough('a', 'b', percent)}", percent).join(tried, ["a", "b"], "left_anti")
     of_class = joined(compared(rest, "rest")[1], MOST_TURNS)
     links = of_class.filter("class_id != component").select(F.col("class_id").alias("a"), F.col("component").alias("b"))
 

@@ -102,3 +102,24 @@ def test_prefixes_of_similar_sets_share_enough(x, y, frequent):
     assert jaccard.linked(a, b) == similar
     if similar:
         assert len(set(first) & set(second)) >= jaccard.shared_needed(len(a), len(b), len(first), len(second), 75)
+
+
+def test_sketches_never_part_similar_sets_and_part_most_others(spark):
+    import numpy as np
+
+    from pageloom.llm import jaccard
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 4, 40, 180, 1100):
+        one = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        for share in (0, 0.05, 0.1, 0.14, 0.15, 0.3, 0.6):
+            gone = round(share * len(one))
+            other = np.unique(np.concatenate([one[gone:], rng.integers(0, 2**63, gone, np.uint64)]))
+            rows.append((len(one) << 32, jaccard.parity_sketch(one).tolist(), len(other) << 32, jaccard.parity_sketch(other).tolist(),
+                         n, share, jaccard.linked(one, other, 75)))
+    test = jaccard._near_enough("a", "b", 75)
+    found = spark.createDataFrame(rows, "ma long, sa array<long>, mb long, sb array<long>, n int, share double, linked boolean").selectExpr(
+        "struct(ma as meta, sa as sketch) as a", "struct(mb as meta, sb as sketch) as b", "n", "share", "linked").selectExpr(
+        "*", f"{test} as near").collect()
+    assert all(r.near for r in found if r.linked) and sum(r.linked for r in found) >= 15
+    assert not any(r.near for r in found if r.n in (40, 180) and r.share >= 0.3)
