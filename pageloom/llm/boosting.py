@@ -32,21 +32,24 @@ class Trees:
 
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32,
-          ridge: float = 1.0, least: float = 1.0) -> Trees:
+          ridge: float = 1.0, least: float = 1.0, times: np.ndarray | None = None) -> Trees:
     """Trees that follow the gradient of the logistic loss, split on quantile bins by second-order gain.
 
+    With ``times``, each row stands for so many, and every value of a feature is a bin.
     Without rows, or with one class only, the probability is the smoothed share of ones.
     """
-    share = (y.sum() + 1) / (len(y) + 2)
+    counted = np.ones(len(y)) if times is None else times.astype(float)
+    share = ((y * counted).sum() + 1) / (counted.sum() + 2)
     inner, base = 2 ** depth - 1, float(np.log(share / (1 - share)))
     features, thresholds, values = [], [], []
     if 0 < y.sum() < len(y):
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if times is None else np.unique(x[:, j])[:-1]
+                for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
         score = np.full(len(y), base)
         for _ in range(trees):
             p = sigmoid(score)
-            gradient, curve = y - p, p * (1 - p)
+            gradient, curve = (y - p) * counted, p * (1 - p) * counted
             feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
             node = np.zeros(len(y), np.int64)
             for level in range(depth):

@@ -4,9 +4,10 @@ Spans of the four fixed kinds are always reported. The trees learn from them and
 of them, in their places, that were written so that no fixed kind fits (``ann (at) host dot
 org``, a phone without its plus), as positive rows, and from wide proposals that no fixed
 span touches, other than addresses written out so, as negative ones, without seeing the
-tests that define the fixed kinds. They
-add what they hold to be personal data beyond a threshold calibrated on proposals kept out
-of training. Wide proposals may overlap; the likelier one stays.
+tests that define the fixed kinds. All proposals count, as cells of binned features with the
+number of proposals in each; where the cells are too many for the driver, bins are made
+wider, and no proposal is left out. The trees add what they hold to be personal data beyond a
+threshold calibrated on the fifth of the proposals kept out of training. Wide proposals may overlap; the likelier one stays.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 from .boosting import Trees, boost
-from .common import Scratch, least_hashed
+from .common import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -38,8 +40,10 @@ DIGIT = re.compile(r"[0-9]")
 WIDE_EMAIL = re.compile(
     r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:@|\(at\)|\[at\]| at ) ?[\w-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,24}){0,4}")
 WIDE_NUMBER = re.compile(r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){4,25}(?![0-9A-Za-z])")
-#: Numbers that describe a proposal.
-WIDTH = 27
+#: Numbers that describe a proposal: counts, but for the share of letters.
+WIDTH, SHARE = 27, 6
+COUNT_CUTS = np.array([*range(25), 28, 32, 40, 48, 64, 128], float)
+SHARE_CUTS = np.arange(0, 1, 1 / 32)
 CUES = (
     re.compile(r"mail|contact|write|@", re.I), re.compile(r"\bip\b|host|server|address", re.I),
     re.compile(r"card|visa|credit|iban|account|pay", re.I), re.compile(r"tel|phone|call|mobile|fax", re.I))
@@ -132,19 +136,38 @@ def proposals(text: str | None) -> list[tuple[int, int, int, bool, bool, list[fl
     return out
 
 
-def calibrated(probability: np.ndarray, truth: np.ndarray, precision: float) -> float:
+def binned(x: np.ndarray) -> np.ndarray:
+    """Bins of descriptions, as bytes."""
+    out = np.searchsorted(COUNT_CUTS, x)
+    out[:, SHARE] = np.searchsorted(SHARE_CUTS, x[:, SHARE])
+    return out.astype(np.uint8)
+
+
+@dataclass(frozen=True)
+class Judge:
+    """Trees over bins, ``step`` of which are one."""
+
+    trees: Trees
+    step: int
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return self.trees.probability((binned(x) // self.step).astype(float))
+
+
+def calibrated(probability: np.ndarray, truth: np.ndarray, precision: float, times: np.ndarray | None = None) -> float:
     """The least threshold from which on at least ``precision`` of the chosen are true; above 1 if there is none.
 
-    Equal probabilities are chosen together, so a threshold counts all rows at it.
+    With ``times``, each stands for so many. Equal probabilities are chosen together, so a threshold counts all rows at it.
     """
     order = np.argsort(-probability, kind="stable")
-    hits = truth[order].cumsum() / np.arange(1, len(order) + 1)
+    times = np.ones(len(order)) if times is None else times
+    hits = (truth * times)[order].cumsum() / times[order].cumsum()
     ends = np.append(np.diff(probability[order]) != 0, True)[:len(order)]
     last = np.flatnonzero(ends & (hits >= precision))
     return float(probability[order[last[-1]]]) if len(last) else 2.0
 
 
-def chosen_spans(model: Trees, thresholds: list[float], found: list) -> list[tuple[int, int, int]]:
+def chosen_spans(model: Trees | Judge, thresholds: list[float], found: list) -> list[tuple[int, int, int]]:
     """Fixed spans, then added ones from the likeliest down as long as they touch nothing added before."""
     spans = [(f["kind"], f["start"], f["end"]) for f in found if f["fixed"]]
     wide = [f for f in found if not f["fixed"]]
@@ -165,14 +188,32 @@ def chosen_spans(model: Trees, thresholds: list[float], found: list) -> list[tup
 FOUND = "array<struct<kind:int,start:int,end:int,fixed:boolean,altered:boolean,x:array<float>>>"
 
 
-def scan_personal(docs: DataFrame, bound: int = 20_000, precision: float = 0.99, id_col: str = "doc_id",
+def _cells(each: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Proposals (``kind, fixed, kept_out, x``) counted by cell, and how many bins were made one to have at most ``most`` cells."""
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series([c.tobytes() for c in binned(np.array(x.tolist(), float).reshape(-1, WIDTH))], dtype=object)
+
+    def halved(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: (np.frombuffer(c, np.uint8) // 2).tobytes())
+
+    groups, step = ["kind", "fixed", "kept_out", "cell"], 1
+    rows = each.select(*groups[:3], F.pandas_udf(cell, "binary")("x").alias("cell"))
+    found = scratch.keep(rows.groupBy(*groups).agg(F.count("*").alias("n")), "cells1")
+    while found.count() > most:
+        step *= 2
+        rows = found.select(*groups[:3], F.pandas_udf(halved, "binary")("cell").alias("cell"), "n")
+        found = scratch.keep(rows.groupBy(*groups).agg(F.sum("n").alias("n")), f"cells{step}")
+    return found, step
+
+
+def scan_personal(docs: DataFrame, most_cells: int = 200_000, precision: float = 0.99, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans`` of every whole text.
 
     ``base`` and ``spans`` list ``kind:start:end`` by kind, then start, in code points with
-    exclusive ends: the fixed kinds, and with them what the trees add. At most ``bound``
-    proposals train the trees and set the thresholds (those of least hash, a fifth of them
-    for the thresholds); all are judged.
+    exclusive ends: the fixed kinds, and with them what the trees add. All proposals train the
+    trees or (a fifth, by hash) set the thresholds, counted in at most ``most_cells`` cells
+    (a few dozen bytes each on the driver; fewer cells mean wider bins); all are judged.
 
     Null and empty texts have no spans. Repeated rows are scanned each. Without both fixed
     and other proposals nothing is added. Other columns are not read; an empty table gives
@@ -188,16 +229,19 @@ def scan_personal(docs: DataFrame, bound: int = 20_000, precision: float = 0.99,
     # A written-out address that nobody labelled is no evidence against such forms: it is judged, not learnt from.
     written_out = (F.col("kind") == 0) & ~F.col("fixed") & ~F.col("altered") & (F.col("x")[WIDTH - 2] + F.col("x")[WIDTH - 1] > 0)
     each = rows.filter(F.size("found") > 0).select("doc_id", F.inline("found")).filter(~written_out).select(
-        F.xxhash64("doc_id", "kind", "start", "end", "altered").alias("at"), "kind", (F.col("fixed") | F.col("altered")).alias("fixed"), "x")
-    sample = least_hashed(each, bound, "at", "x").toPandas()
-    x = np.array(sample.x.tolist(), float).reshape(len(sample), WIDTH)
-    y, kept_out = sample.fixed.to_numpy(bool).astype(int), np.arange(len(sample)) % 5 == 4
-    model = boost(x[~kept_out], y[~kept_out]) if len(sample) else boost(np.zeros((0, WIDTH)), np.zeros(0))
-    p = model.probability(x[kept_out]) if len(sample) else np.zeros(0)
+        "kind", (F.col("fixed") | F.col("altered")).alias("fixed"), "x",
+        (F.pmod(F.xxhash64("doc_id", "kind", "start", "end", "altered"), F.lit(5)) == 4).alias("kept_out"))
+    cells, step = _cells(each, most_cells, scratch)
+    cells = cells.orderBy("cell", "kind", "fixed", "kept_out").toArrow()
+    x = np.frombuffer(b"".join(cells["cell"].to_pylist()), np.uint8).reshape(-1, WIDTH).astype(float)
+    kind, y, kept_out, n = (cells[c].to_numpy() for c in ("kind", "fixed", "kept_out", "n"))
+    y, kept_out = y.astype(int), kept_out.astype(bool)
+    model = Judge(boost(x[~kept_out], y[~kept_out], times=n[~kept_out]), step)
+    p = model.trees.probability(x[kept_out])
     thresholds = []
     for k in range(len(KINDS)):
-        own = sample.kind.to_numpy()[kept_out] == k if len(sample) else np.zeros(0, bool)
-        thresholds.append(max(0.5, calibrated(p[own], y[kept_out][own], precision)) if len(sample) else 2.0)
+        own = kind[kept_out] == k
+        thresholds.append(max(0.5, calibrated(p[own], y[kept_out][own], precision, n[kept_out][own])))
 
     @F.pandas_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base:string,spans:string>")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

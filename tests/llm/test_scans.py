@@ -199,3 +199,26 @@ def test_many_matches_in_one_text_cost_by_the_match(spark):
         return took
     seconds(500)
     assert seconds(16_000) < 3 * seconds(8_000) + 1
+
+
+def test_all_proposals_train_the_trees_or_set_the_thresholds(spark, monkeypatch):
+    rows = [(i, f"write to n{i}@h{i % 7}.org, call 0{i} 555 {1000 + i} or see 10.0.{i % 250}.1 " + "9 " * (i % 40), "s") for i in range(400)]
+    found = [p for _, t, _ in rows for p in personal.proposals(t)]
+    wanted = sum(not (p[0] == 0 and not p[3] and not p[4] and p[5][-2] + p[5][-1] > 0) for p in found)
+    seen, boost, calibrated = [], personal.boost, personal.calibrated
+
+    def counted(x, y, times):
+        seen.append((len(x), times.sum()))
+        return boost(x, y, times=times)
+
+    def set_(p, y, precision, times):
+        seen.append((len(p), times.sum()))
+        return calibrated(p, y, precision, times)
+    monkeypatch.setattr(personal, "boost", counted)
+    monkeypatch.setattr(personal, "calibrated", set_)
+    for most in (200_000, 40):
+        seen.clear()
+        out = personal.scan_personal(documents(spark, rows), most_cells=most).collect()
+        assert len(out) == len(rows) and len(seen) == 5
+        assert sum(n for _, n in seen) == wanted and sum(cells for cells, _ in seen) <= most
+        assert 0.7 * wanted < seen[0][1] < 0.9 * wanted
