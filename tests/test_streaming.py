@@ -158,3 +158,18 @@ def test_stream_queries_read_tables_that_are_folders_of_files(spark, tmp_path):
     counts = {"stream_items": 4, "stream_links": 4, "stream_seeds": 8, "stream_upsert": 2, "stream_messages": 4}
     for kind in ("dir", "file"):
         assert {n: getattr(q, n)(Tables(spark, str(tmp_path / kind))).count() for n in counts} == counts
+
+
+def test_seen_stream_takes_rows_of_a_batch_by_time_and_state_by_buckets(spark, tmp_path):
+    for part in (3, 2, 1, 0):  # later files have earlier rows, and more than one data frame of them
+        rows = spark.range(30_000).select((F.col("id") % 3).alias("u"), (F.lit(part) * 30_000 + 29_999 - F.col("id")).alias("second"))
+        rows.select(F.concat(F.lit("http://s/"), "u").alias("url"), (F.lit(DAY0).cast("timestamp") + F.make_dt_interval(secs=F.col("second") * 10)).alias(
+            "fetched_at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("http://s/none", None), ("http://s/none", None), (None, DAY0), (None, DAY0)], "url string, fetched_at timestamp").coalesce(
+        1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.drop_seen_stream(streams.page_stream(spark, str(tmp_path / "in"), "url string, fetched_at timestamp"), buckets=2)
+    got = sorted((str(r.url), str(r.fetched_at)) for r in to_table(stream.select("url", "fetched_at"), spark, tmp_path, "order").collect())
+    first = {u: DAY0 + timedelta(seconds=10 * ((2 - u) % 3)) for u in range(3)}
+    again = {u: at + timedelta(days=7) for u, at in first.items()}
+    wanted = [(f"http://s/{u}", str(at)) for times in (first, again) for u, at in times.items()]
+    assert got == sorted([*wanted, ("http://s/none", "None"), ("None", str(DAY0))])
