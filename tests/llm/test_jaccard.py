@@ -116,7 +116,7 @@ def test_sketches_never_part_similar_sets_and_part_most_others(spark):
             gone = round(share * len(one))
             other = np.unique(np.concatenate([one[gone:], rng.integers(0, 2**63, gone, np.uint64)]))
             rows.append((len(one) << 32, jaccard.parity_sketch(one).tolist(), len(other) << 32, jaccard.parity_sketch(other).tolist(),
-                         n, share, jaccard.linked(one, other, 75)))
+                         n, float(share), bool(jaccard.linked(one, other, 75))))
     test = jaccard._near_enough("a", "b", 75)
     found = spark.createDataFrame(rows, "ma long, sa array<long>, mb long, sb array<long>, n int, share double, linked boolean").selectExpr(
         "struct(ma as meta, sa as sketch) as a", "struct(mb as meta, sb as sketch) as b", "n", "share", "linked").selectExpr(
